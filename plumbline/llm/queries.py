@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from plumbline.llm.fingerprints import op3_fingerprints
+from plumbline.llm.langid import op10_language_id
 from plumbline.llm.media import op2_media_columns
 from plumbline.llm.mixing import OP1_SQL, op1_source_mix
+from plumbline.llm.toxicity import op9_toxicity
+from plumbline.llm.warc import OP4_SQL, op4_warc
 
 QUERIES = {
     "op1_source_mix": op1_source_mix,
     "op2_media_columns": op2_media_columns,
     "op3_fingerprints": op3_fingerprints,
+    "op4_warc": op4_warc,
+    "op9_toxicity": op9_toxicity,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLES = {"op1_source_mix": OP1_SQL}
+ORACLES = {"op1_source_mix": OP1_SQL, "op4_warc": OP4_SQL}
