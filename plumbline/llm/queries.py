@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plumbline.llm.extraction import op8_html_extraction
 from plumbline.llm.fingerprints import op3_fingerprints
 from plumbline.llm.langid import op10_language_id
 from plumbline.llm.media import op2_media_columns
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_media_columns": op2_media_columns,
     "op3_fingerprints": op3_fingerprints,
     "op4_warc": op4_warc,
+    "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
