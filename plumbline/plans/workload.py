@@ -77,7 +77,7 @@ VIEWS = {
     "matches": """tok AS (SELECT chunk_id, doc_key, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS token FROM chunks),
 term AS (SELECT query_id, unnest(terms) AS token FROM queries),
 tfs AS (SELECT query_id, chunk_id, doc_key, token, count(*) AS tf FROM tok JOIN term USING (token) GROUP BY ALL),
-matches AS (SELECT query_id, chunk_id, doc_key, count(*) AS n_terms, sum(ln(1 + tf)) AS lex_score FROM tfs GROUP BY ALL)""",
+matches AS (SELECT query_id, chunk_id, doc_key, count(*) AS n_terms, round(sum(ln(1 + tf)), 9) AS lex_score FROM tfs GROUP BY ALL)""",
     "modes": """modes AS (SELECT q.query_id, len(q.terms)::INTEGER AS wanted, count(m.chunk_id) FILTER (m.n_terms = len(q.terms)) AS and_hits, count(m.chunk_id) AS or_hits,
   CASE WHEN count(m.chunk_id) FILTER (m.n_terms = len(q.terms)) >= 5 THEN 'AND' ELSE 'OR' END AS mode FROM queries q LEFT JOIN matches m USING (query_id) GROUP BY ALL)""",
 }
