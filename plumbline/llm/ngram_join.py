@@ -328,7 +328,8 @@ def _linked(units: DataFrame, docs: DataFrame, words: int) -> DataFrame:
 
     # A document goes to all its blocks as text, in one shuffle; its set is made once and copied.
     mine = units.groupBy("v").agg(F.first("label").alias("label"), F.collect_list(F.struct("pivot", "part", "other")).alias("in"))
-    rows = docs.join(mine, F.col("doc_id") == F.col("v")).select("label", "in", "text")
+    # By shuffle at every size: the blocks grow with the documents.
+    rows = docs.join(mine.hint("merge"), F.col("doc_id") == F.col("v")).select("label", "in", "text")
     rows = rows.mapInPandas(sets, "label long, in array<struct<pivot: long, part: long, other: long>>, set binary")
     rows = rows.select(F.explode("in").alias("at"), "label", "set").select("at.pivot", "at.part", "at.other", "label", "set")
     return _dealt(rows).mapInPandas(run, "child long, parent long").distinct()
@@ -381,7 +382,8 @@ def vertex_components(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, D
     sketches = materialize(_sketches(docs.withColumn("doc_id", F.col("doc_id").cast("string")), _frequent(docs, words), words), "join-sketches")
     classes = sketches.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("v"), F.count("*").alias("copies"))
     classes = materialize(classes, "join-classes")
-    own = sketches.join(classes.select("hi", "lo", F.col("v").alias("doc_id")), ["hi", "lo", "doc_id"], "left_semi").withColumnRenamed("doc_id", "v")
+    heads = classes.select("hi", "lo", F.col("v").alias("doc_id")).hint("merge")
+    own = sketches.join(heads, ["hi", "lo", "doc_id"], "left_semi").withColumnRenamed("doc_id", "v")
     own = materialize(own.dropDuplicates(["v", "hi", "lo"]).select("v", "n", "rare", "common", "bits"), "join-vertices")
     blocks = materialize(_blocks(own), "join-blocks")
     sizes = own.groupBy("v").agg(F.max("n").alias("n"))
