@@ -42,6 +42,10 @@ ENDS = {
 }
 
 
+#: Elements that say what a part of a page is.
+HOLDERS = frozenset("article aside dialog footer form header main nav section".split())
+
+
 @dataclass
 class Block:
     text: str
@@ -98,7 +102,7 @@ def leaf_blocks(page: str) -> list[Block]:
                     break
             continue
         if name in RAW:
-            if not m[3].endswith("/"):
+            if not (m[3].endswith("/") and name in ("svg", "math")):
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
             parts.append(" ")
@@ -118,8 +122,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if name == "a":
             links += 1
         found = [p.lower() for a in ATTRIBUTE.finditer(m[3]) for p in NAME_PART.findall(a[2] or a[3] or a[4] or "")] if "=" in m[3] else []
-        if not (m[3].endswith("/") and name not in BLOCK):
-            stack.append((name, tuple(found)))
+        stack.append((name, tuple(found)))
     if at < len(page):
         text(page[at:])
     flush()
@@ -133,6 +136,10 @@ def block_features(block: Block, before: Block | None) -> tuple[str, ...]:
     out = ["bias", *{f"in:{t}" for t in tags if t in BLOCK}, *{f"name:{x}" for x in block.names}]
     own = next((t for t in reversed(tags) if t in BLOCK), "none")
     out.append(f"own:{own}")
+    blocks = [t for t in tags if t in BLOCK]
+    out.append(f"path:{'>'.join(blocks[-2:])}")
+    out.append(f"holder:{next((t for t in reversed(blocks) if t in HOLDERS), 'none')}")
+    out.append("named" if block.names else "unnamed")
     out.append(f"long:{min(5, n.bit_length() // 2)}")
     out.append(f"links:{min(4, round(4 * block.linked / n))}")
     if text[0] in "©" or "©" in text[:40]:
