@@ -187,7 +187,8 @@ def navigation_table(scores: DataFrame, score: Column, thresholds: tuple[float,
 def extend_anchors(labels: DataFrame, chunks: DataFrame, max_words: int = 20, max_places: int = 6) -> DataFrame:
     """(query_id, doc_key, chunk_index, anchor, n): a label's text grown word by
     word, to the side that fewer chunks of the document hold, until one chunk
-    is left. Runs once per document, over that document's chunks."""
+    is left. Every step takes a whole word, also the last of a chunk. Runs once
+    per document, over that document's chunks."""
 
     def grow(body: str, texts: list[str], start: int, end: int) -> tuple[int, str]:
         count = lambda s: sum(" ".join(s.lower().split()) in t for t in texts)
@@ -200,9 +201,10 @@ def extend_anchors(labels: DataFrame, chunks: DataFrame, max_words: int = 20, ma
             options = []
             if lower := [e for e in edges if e < start]:
                 options.append((count(body[lower[-1] : end]), body[lower[-1] : end], lower[-1], end))
-            if later := [e for e in edges if e > end]:
-                grown = body[start : later[0]].rstrip()
-                options.append((count(grown), grown, start, start + len(grown)))
+            if end < len(body):
+                stop = body.find(" ", end + 1)
+                stop = stop if stop >= 0 else len(body)
+                options.append((count(body[start:stop]), body[start:stop], start, stop))
             if not options:
                 break
             n, _, start, end = min(options)
