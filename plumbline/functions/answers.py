@@ -59,7 +59,7 @@ def claims(text: Column) -> Column:
 def claim_verdict(reply: Column) -> Column:
     """A judge's reply on one claim. An unreadable reply is an error, never unsupported."""
     text = F.trim(F.coalesce(reply, F.lit("")))
-    named = F.regexp_extract(text, r'\{[^{}]*"verdict"\s*:\s*"([A-Z_]+)"[^{}]*\}', 1)
+    named = F.regexp_extract(text, C.CLAIM_VERDICT, 1)
     up = F.upper(text)
     return (
         F.when(text == "", "judge_error")
@@ -77,7 +77,7 @@ def claim_verdict(reply: Column) -> Column:
 def answer_verdict(reply: Column) -> Column:
     """A judge's reply on a whole answer; of the names in free text the longest first."""
     text = F.trim(F.coalesce(reply, F.lit("")))
-    named = F.regexp_extract(text, r'"verdict"\s*:\s*"([A-Z_]+)"', 1)
+    named = F.regexp_extract(text, C.ANSWER_VERDICT, 1)
     up = F.upper(text)
     out = F.when(text == "", "JUDGE_ERROR").when(named.isin("CORRECT", "PARTIALLY_CORRECT", "INCORRECT"), named)
     for name in ("PARTIALLY_CORRECT", "INCORRECT", "CORRECT"):

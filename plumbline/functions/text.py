@@ -36,11 +36,11 @@ def words(text: Column) -> Column:
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, C.PARAGRAPH_BREAK), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
 
 
 def sentences(text: Column) -> Column:
-    return F.split(text, r"(?<=[.!?])\s+(?=[A-Z])")
+    return F.split(text, C.SENTENCE_BREAK)
 
 
 def label(company: Column, fiscal_year: Column, section: Column) -> Column:
@@ -131,7 +131,7 @@ def navigation_score(text: Column) -> Column:
 
 def probes(content: Column) -> Column:
     """Pieces of a text, spread over its length, by which it can be found again."""
-    trimmed = F.transform(F.split(content, r"(?<=[.!?])\s+|\n+"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
+    trimmed = F.transform(F.split(content, C.PROBE_BREAK), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", ""))
     pieces = F.transform(F.filter(trimmed, lambda p: F.char_length(p) >= C.PROBE_MIN_CHARS), flat)
     body = flat(content)
     starts = F.sequence(F.lit(1), F.greatest(F.char_length(body), F.lit(1)), F.lit(200))
@@ -142,8 +142,8 @@ def probes(content: Column) -> Column:
 
 
 def clean_note(note: Column) -> Column:
-    """A note without the marks before it."""
-    return F.trim(F.regexp_replace(note, r"^\s*(?i:note|notes|review)\s*[:\-]\s*", ""))
+    """A note without its internal prefix."""
+    return F.trim(F.regexp_replace(F.coalesce(note, F.lit("")), C.NOTE_PREFIX, ""))
 
 
 def preview(text: Column, needle: Column, width: int = 160) -> Column:

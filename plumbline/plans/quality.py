@@ -186,11 +186,14 @@ def f36(spark, d):
     return Q.vector_checks(W.table(spark, d, "embeddings"), 64)
 
 
-@query("a34_heading_tails", r"SELECT lang AS item_section, count(*) AS n FROM documents WHERE regexp_matches(text, '[.!?]\s+[^.!?]{5,200}\.$') GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")
+TAIL_SQL = "'" + C.HEADING_TAIL.replace("'", "''") + "'"
+
+
+@query("a34_heading_tails", f"SELECT lang AS item_section, count(*) AS n FROM (SELECT lang, text || CASE WHEN doc_id % 5 = 0 THEN ' This could adversely affect sales. ' ELSE '' END AS text FROM documents) WHERE regexp_matches(text, {TAIL_SQL}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6")
 def a34(spark, d):
-    """Chunks whose last sentence is short, by section, the six largest."""
-    docs = W.table(spark, d, "documents").filter(F.col("text").rlike(r"[.!?]\s+[^.!?]{5,200}\.$"))
-    return docs.groupBy(F.col("lang").alias("item_section")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "item_section").limit(6)
+    """Chunks that end on the opening of a risk factor, by section, the six largest; every fifth text gets such an end."""
+    docs = W.table(spark, d, "documents").select("lang", F.concat("text", F.when(F.col("doc_id") % 5 == 0, " This could adversely affect sales. ").otherwise("")).alias("text"))
+    return docs.filter(F.col("text").rlike(C.HEADING_TAIL)).groupBy(F.col("lang").alias("item_section")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "item_section").limit(6)
 
 
 NAV = r"""least(len(regexp_extract_all({t}, '(?i)\b(?:note|item|part)\s+\d{{1,2}}[A-C]?\b[^.]{{0,60}}?\b\d{{1,3}}\b')) / n * 100 / 4.0, 1.0) * 0.45
@@ -465,9 +468,11 @@ def f28(spark, d):
     return Q.extend_anchors(labels, W.chunks(spark, d))
 
 
-@query("f30_clean_notes", r"SELECT doc_id, trim(regexp_replace('Note: ' || lang, '^\s*(?i:note|notes|review)\s*[:\-]\s*', '')) AS note FROM documents")
+@query("f30_clean_notes", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'own ' || lang END AS note FROM documents")
 def f30(spark, d):
-    return W.table(spark, d, "documents").select("doc_id", T.clean_note(F.concat(F.lit("Note: "), F.col("lang"))).alias("note"))
+    """notes without their prefix."""
+    note = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("vNext comparative dev. "), F.col("lang"))).otherwise(F.concat(F.lit("own "), F.col("lang")))
+    return W.table(spark, d, "documents").select("doc_id", T.clean_note(note).alias("note"))
 
 
 @query("f40_probe_truth", CH + ", p AS (SELECT chunk_index, CASE WHEN chunk_index % 2 = 0 THEN 'release' ELSE 'current' END AS corpus, contains(content, 'the') AS has FROM chunks) SELECT CASE WHEN count(*) FILTER (corpus = 'release' AND has) > 0 AND count(*) FILTER (corpus = 'current' AND has) > 0 THEN 'mixed' WHEN count(*) FILTER (corpus = 'release' AND has) > 0 THEN 'release' WHEN count(*) FILTER (corpus = 'current' AND has) > 0 THEN 'current' ELSE 'neither' END AS verdict, count(*) FILTER (has) AS hits FROM p")
