@@ -12,7 +12,7 @@ from plumbline.functions.text import file_stem, fiscal_year, vector_literal
 def html_files(spark: SparkSession, pattern: str) -> DataFrame:
     """(doc_id, html) of whole files; bytes that aren't UTF-8 are replaced."""
     files = spark.read.format("binaryFile").load(pattern)
-    return files.select(file_stem(F.col("path")).alias("doc_id"), F.try_validate_utf8(F.make_valid_utf8(F.col("content").cast("string"))).alias("html"))
+    return files.select(file_stem(F.col("path")).alias("doc_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
 
 
 def parsed_filings(spark: SparkSession, pattern: str) -> DataFrame:
