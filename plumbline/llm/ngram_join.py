@@ -235,7 +235,7 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
             for text in pdf["text"]:
                 held.append(shingler(text))
                 size += held[-1].size
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield out()
                     held, size = [], 0
         if held:

@@ -13,18 +13,24 @@ merges give."""
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.common import table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Segments whose ids a worker remembers, and the longest of them.
-MEMO, MEMO_CHARS = 600_000, 32
+MEMO, MEMO_CHARS = 250_000, 24
+#: Pairs of pieces that a worker remembers, and rows it handles at a time.
+PAIRS, SLICE = 250_000, 256
 UNIGRAM, BPE = 1, 2
 
 
@@ -100,6 +106,8 @@ class Codec:
         self.apart: dict[int, bool] = {}
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.whole: dict[int, bool] = {}
+        #: Told the window's length at each commit.
+        self.on_commit: Callable[[int], None] | None = None
 
     def _text(self, i: int) -> str:
         return self.extra[i] if i in self.extra else self.pieces[i]
@@ -157,6 +165,8 @@ class Codec:
             return ok
         key = last << 32 | piece
         if (ok := self.apart.get(key)) is None:
+            if len(self.apart) >= PAIRS:
+                self.apart.clear()
             ok = self.apart[key] = self._follows(None, piece) and self._apart(last, piece)
         return ok
 
@@ -167,7 +177,7 @@ class Codec:
         # By boundary minus base: piece that ends there, where it starts, score of the path.
         last: list[int | None] = [None]
         start, score = [0], [0.0]
-        ends, bpe, follows, scores = self.ends, self.kind == BPE, self._follows, self.score
+        ends, bpe, follows, scores, apart = self.ends, self.kind == BPE, self._follows, self.score, self.apart.get
 
         def path(end: int) -> list[int]:
             found = []
@@ -189,7 +199,9 @@ class Codec:
                     found.append((j, piece))
             if bpe:
                 for j, piece in reversed(found):
-                    if follows(before if j == base else last[j - base], piece):
+                    left = before if j == base else last[j - base]
+                    ok = apart(left << 32 | piece) if left is not None else None
+                    if follows(left, piece) if ok is None else ok:
                         best, origin = piece, j
                         break
             else:
@@ -206,6 +218,8 @@ class Codec:
                     paths.remove(top)
                     paths.add(start[top - base])
                 if paths and (meet := paths.pop()) > base:
+                    if self.on_commit:
+                        self.on_commit(len(last))
                     out += path(meet)
                     before = last[meet - base]
                     cut, gone = meet - base, score[meet - base]
@@ -263,30 +277,47 @@ def load(path: str = MODEL_PATH) -> bytes:
         return file.read()
 
 
+@lru_cache(maxsize=1)
+def _codec(proto: bytes) -> Codec:
+    """One codec a worker process, so that its memory of segments serves all its tasks."""
+    return Codec(proto)
+
+
 def encode(docs: DataFrame, model: str = MODEL_PATH, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with the ids of the text in out, and in decoded, if named, the text that they decode to.
-    A null text has no ids and decodes to an empty text."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    A null text has no ids and decodes to an empty text; columns of these names are replaced.
 
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(shared.value)
-        for texts in batches:
-            ids = [codec.encode(x) for x in texts]
-            yield pd.DataFrame({"ids": ids, "text": [codec.decode(x) if decoded else None for x in ids]})
-
-    found = docs.withColumn("_sp", F.pandas_udf(of, "ids array<int>, text string")(F.col(text)))
-    found = found.withColumn(out, F.col("_sp.ids"))
-    return (found.withColumn(decoded, F.col("_sp.text")) if decoded else found).drop("_sp")
+    Arrow batches are worked off in slices, so a worker holds few rows as Python objects."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+    # The text under a name of its own, so that it can be replaced as well.
+    docs = docs.withColumn("_sp_text", F.col(text)).drop(*(c for c in (out, decoded) if c))
+    fields = [*docs.drop("_sp_text").schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]
+    schema = T.StructType(fields + ([T.StructField(decoded, T.StringType())] if decoded else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared.value)
+        for batch in batches:
+            at_text = batch.schema.get_field_index("_sp_text")
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = [np.array(codec.encode(x), np.int32) for x in part.column(at_text).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                columns = [c for i, c in enumerate(part.columns) if i != at_text]
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
+                if decoded:
+                    columns.append(pa.array([codec.decode(x.tolist()) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model: str = MODEL_PATH, ids: str = "ids", out: str = "text") -> DataFrame:
     """rows with the text of the ids in out; null ids give a null text."""
     shared = rows.sparkSession.sparkContext.broadcast(load(model))
 
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = Codec(shared.value)
-        for each in batches:
-            yield pd.Series([None if x is None else codec.decode([int(i) for i in x]) for x in each], dtype="object")
+    def of(each: pd.Series) -> pd.Series:
+        codec = _codec(shared.value)
+        return pd.Series([None if x is None else codec.decode([int(i) for i in x]) for x in each], dtype="object")
 
     return rows.withColumn(out, F.pandas_udf(of, "string")(F.col(ids)))
 

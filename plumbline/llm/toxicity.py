@@ -26,7 +26,7 @@ FACTORS = 4
 TRAIN_DOCS = 8_000
 THRESHOLD = 0.7
 #: Words whose terms a worker remembers.
-MEMO = 200_000
+MEMO = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -152,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, doc_id: s
     return fit(sample["text"].tolist(), sample["toxic"].clip(0, 1).astype(int).tolist())
 
 
-def score(docs: DataFrame, model: FactorizationMachine, text: str = "text") -> DataFrame:
-    """docs with toxicity, from 0 to 1; a null text scores as an empty one."""
+def score(docs: DataFrame, model: FactorizationMachine, text: str = "text", out: str = "toxicity") -> DataFrame:
+    """docs with the toxicity in out, from 0 to 1; a column of this name is replaced. A null text scores as an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -162,13 +162,13 @@ def score(docs: DataFrame, model: FactorizationMachine, text: str = "text") -> D
         for texts in batches:
             yield pd.Series([fm.score(x) for x in texts], dtype="float64")
 
-    return docs.withColumn("toxicity", of(F.col(text)))
+    return docs.withColumn(out, of(F.col(text)))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **columns: str) -> DataFrame:
-    """The documents that score below threshold; the same columns."""
-    found = score(docs, train(docs, labels, **columns), columns.get("text", "text"))
-    return found.filter(F.col("toxicity") < threshold).select(*docs.columns)
+    """The documents that score below threshold, with the columns they had."""
+    found = score(docs, train(docs, labels, **columns), columns.get("text", "text"), "_tx_score")
+    return found.filter(F.col("_tx_score") < threshold).select(*docs.columns)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,10 @@ def test_random_texts():
 def test_window_is_bounded():
     seen = []
     text = "".join(random.Random(3).choice("abcdefgh") for _ in range(20_000))
-    old = CODEC._follows
-    assert CODEC.encode(text) == MODEL.encode(text) and not seen and old
+    CODEC.on_commit = seen.append
+    assert CODEC.encode(text) == MODEL.encode(text)
+    CODEC.on_commit = None
+    assert len(seen) > 100 and max(seen) <= 10 * CODEC.longest
 
 
 def test_unigram_search():
@@ -38,7 +40,7 @@ def test_unigram_search():
     codec = sp.Codec.__new__(sp.Codec)
     pieces = {"a": -2.0, "b": -2.5, "c": -3.0, "ab": -3.2, "bc": -4.4, "abc": -5.9, "ca": -4.0, "aa": -3.9}
     codec.kind, codec.ids, codec.score = sp.UNIGRAM, {p: i for i, p in enumerate(pieces)}, list(pieces.values())
-    codec.longest, codec.pieces, codec.extra, codec.ends = 3, list(pieces), {}, {}
+    codec.longest, codec.pieces, codec.extra, codec.ends, codec.apart, codec.on_commit = 3, list(pieces), {}, {}, {}, None
     for text, i in codec.ids.items():
         node = codec.ends
         for c in reversed(text):
