@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE_CHARS, SPACE_PATTERN, lookup, materialize, table
+from plumbline.llm.common import SPACE_CHARS, SPACE_PATTERN, materialize, table
 
 SHINGLE_WORDS = 5
 SKETCH_SIZE = 64

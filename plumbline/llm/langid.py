@@ -186,8 +186,9 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS, doc_id: str = "doc_id", text
     return fit(sample["text"].tolist(), sample["lang"].tolist(), idf)
 
 
-def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """docs with lang_pred and lang_score. A null text, or one without a letter, is und with score 0."""
+def predict(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """docs with the language and its score; columns of these names are replaced.
+    A null text, or one without a letter, is und with score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -195,13 +196,13 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
         return pd.DataFrame([shared.value.predict(x) for x in texts], columns=["lang", "score"])
 
     found = docs.withColumn("_li", of(F.col(text)))
-    return found.withColumn("lang_pred", F.col("_li.lang")).withColumn("lang_score", F.col("_li.score")).drop("_li")
+    return found.withColumns({lang: F.col("_li.lang"), score: F.col("_li.score")}).drop("_li")
 
 
 def keep_known(docs: DataFrame, min_score: float = 0.4, **columns: str) -> DataFrame:
-    """The documents whose language is found with at least min_score; the same columns."""
-    found = predict(docs, train(docs, **columns), columns.get("text", "text"))
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= min_score)).select(*docs.columns)
+    """The documents whose language is found with at least min_score, with the columns they had."""
+    found = predict(docs, train(docs, **columns), columns.get("text", "text"), "_li_lang", "_li_score")
+    return found.filter((F.col("_li_lang") != UNKNOWN) & (F.col("_li_score") >= min_score)).select(*docs.columns)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,7 +97,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3,
     A null text has size 0; null sources are one source, the last. Repeated
     rows have one hash and are taken together. Documents of size 0 bring no
     words and go with their hash. An empty table gives no rows. Only the
-    three named columns are used; others pass unchanged."""
+    three named columns are used; others pass unchanged, but for columns of
+    the four names above, which are replaced."""
     size, h = word_count(F.col(text)), hash60(F.col(doc_id), F.col(text))
     rows = docs.select(F.col(source).alias("source"), size.alias("size"), h.alias("h"))
     cuts = thresholds(rows, weights, cap).select(

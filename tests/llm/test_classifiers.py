@@ -52,6 +52,7 @@ def test_language_edges(spark):
     assert got[(None, None)]["lang_pred"] == got[(903, None)]["lang_pred"] == "en" and 0 <= got[(903, None)]["lang_score"] <= 1
     kept = langid.keep_known(docs)
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
+    assert {r["lang_score"] for r in kept.collect()} == {"s"}
     assert langid.predict(docs.limit(0), langid.train(docs.limit(0))).count() == 0
     assert langid.train(docs.limit(0)).predict("the") == ("und", 0.0)
 
@@ -74,13 +75,13 @@ def test_document_frequencies(spark):
 
 def test_toxicity_edges(spark):
     rows = [(i, "you are a stupid fool" if i % 4 == 0 else "a nice calm day", None) for i in range(300)] + [(None, "stupid", "x"), (500, None, "x"), (501, "", "x"), (502, "calm " * 100_000 + "stupid fool", "x"), (502, "", "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string").selectExpr("*", "'own' as toxicity")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)] + [(None, 1), (5, None), (10_000, 1)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
-    got = {(r["doc_id"], r["text"]): r["toxicity"] for r in toxicity.score(docs, model).collect()}
+    got = {(r["doc_id"], r["text"]): r["score"] for r in toxicity.score(docs, model, out="score").collect()}
     assert got[(0, "you are a stupid fool")] > 0.7 > 0.3 > got[(1, "a nice calm day")]
     assert got[(500, None)] == got[(501, "")] < 0.7 and len(got) == len(rows)
     kept = toxicity.keep_clean(docs, labels)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and {r["toxicity"] for r in kept.collect()} == {"own"}
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
     assert toxicity.train(docs, labels.limit(0)).score("stupid") == pytest.approx(0, abs=1e-9)
