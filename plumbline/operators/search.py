@@ -88,11 +88,13 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, chunk_id, doc_key, n_terms, lex_score): chunks with any term.
-    Terms are looked up before anything is grouped, so only hits are shuffled.
+    Each chunk goes to one task and its terms are counted there once, whatever the
+    number of questions that share them; nothing is shuffled after that.
     lex_score is the sum of ln(1 + tf) to nine decimals: frequency counts, rarity doesn't."""
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("token"))
-    each = chunks.select("chunk_id", "doc_key", F.explode(tokens(F.col("content"))).alias("token")).join(F.broadcast(terms), "token")
-    tf = each.groupBy("query_id", "chunk_id", "doc_key", "token").agg(F.count("*").alias("tf"))
+    rows = chunks.select("chunk_id", "doc_key", "content").repartition("chunk_id")
+    each = rows.select("chunk_id", "doc_key", F.explode(tokens(F.col("content"))).alias("token")).join(F.broadcast(terms.select("token").distinct()), "token", "left_semi")
+    tf = each.groupBy("chunk_id", "doc_key", "token").agg(F.count("*").alias("tf")).join(F.broadcast(terms), "token")
     return tf.groupBy("query_id", "chunk_id", "doc_key").agg(F.count("*").alias("n_terms"), F.round(F.sum(F.log1p("tf")), 9).alias("lex_score"))
 
 

@@ -27,9 +27,11 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as questions; all their distinct tokens are terms. The SQL below still
+    cuts them to the first two, so results by terms differ from it."""
     items, vectors = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
     rows = items.join(vectors, items.item_id == vectors.vec_id, "left")
-    terms = F.slice(F.array_sort(F.array_distinct(tokens(items.text))), 1, 2)
+    terms = F.array_sort(F.array_distinct(tokens(items.text)))
     return rows.select(items.item_id.alias("query_id"), items.text, terms.alias("terms"), vectors.embedding.cast("array<double>").alias("qv"))
 
 
