@@ -9,6 +9,7 @@ smaller chunk_id. Only ids are ranked and fused; texts are joined last."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from plumbline import config as C
 from plumbline.functions.text import tokens
 
 KEYS = ["query_id", "ticker", "pos"]
-#: Questions of a batch that are broadcast; more are searched in several batches.
+#: About as many (question, company) rows are broadcast at once; more are searched in several blocks.
 BATCH = 2_000
 
 
@@ -46,16 +47,23 @@ def ranked(hits: DataFrame, keys: list[str], k: int, score: str = "score") -> Da
 def semantic(chunks: DataFrame, queries: DataFrame, k: int, targets: DataFrame | None = None) -> DataFrame:
     """Exact nearest chunks by cosine similarity, in (query, company) groups.
 
-    The questions, at most BATCH times their companies, go to the executors as
-    one matrix; a batch of vectors is multiplied with it and only its own k
-    best of each group leave the task, so the shuffle doesn't grow with the
-    vectors. Chunks without a vector can't be found; similarities that agree
-    to nine decimals are ties."""
-    spark = chunks.sparkSession
-    asked = with_targets(queries, targets).select(*KEYS, "qv").filter("qv is not null").limit(4 * BATCH + 1).toPandas()
-    if len(asked) > 4 * BATCH:
-        raise ValueError("search so many questions in several batches")
-    shared = spark.sparkContext.broadcast(asked)
+    The questions go to the executors as one matrix, or, beyond BATCH rows, in
+    blocks dealt by hash, each with its own pass over the vectors; a batch of
+    vectors is multiplied with it and only its own k best of each group leave
+    the task, so the shuffle doesn't grow with the vectors. Chunks without a
+    vector can't be found; similarities that agree to nine decimals are ties."""
+    asked = with_targets(queries, targets).select(*KEYS, "qv").filter("qv is not null")
+    first = asked.limit(BATCH + 1).toPandas()
+    if len(first) <= BATCH:
+        return ranked(_nearest(chunks, first, k), KEYS, k)
+    blocks = -(-asked.count() // BATCH)
+    found = (_nearest(chunks, asked.filter(F.pmod(F.xxhash64(*KEYS), F.lit(blocks)) == b).toPandas(), k) for b in range(blocks))
+    return ranked(reduce(DataFrame.unionAll, found), KEYS, k)
+
+
+def _nearest(chunks: DataFrame, asked: pd.DataFrame, k: int) -> DataFrame:
+    """The k nearest chunks of each batch of vectors to each row of asked, unranked."""
+    shared = chunks.sparkSession.sparkContext.broadcast(asked)
 
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = shared.value
@@ -77,8 +85,7 @@ def semantic(chunks: DataFrame, queries: DataFrame, k: int, targets: DataFrame |
             yield pd.concat(out)
 
     rows = chunks.filter("embedding is not null").select("chunk_id", "doc_key", "embedding")
-    found = rows.mapInPandas(best, "query_id long, ticker string, pos int, chunk_id long, score double")
-    return ranked(found, KEYS, k)
+    return rows.mapInPandas(best, "query_id long, ticker string, pos int, chunk_id long, score double")
 
 
 def postings(chunks: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold an item's text: one pass over the documents with the items, a set of fixed size, broadcast."""
+    """Documents that hold an item's text: one pass over the documents with the items, which grow with the data, broadcast."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     return docs.join(F.broadcast(items), F.contains("text", "needle")).select("query_id", "chunk_id")
