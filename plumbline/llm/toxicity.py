@@ -7,6 +7,7 @@ of a group, which added weights alone can't express."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,6 +26,8 @@ FACTORS = 4
 #: Most labelled documents that the model is fitted on.
 TRAIN_DOCS = 8_000
 THRESHOLD = 0.7
+#: Largest norm of a text's values.
+NORM = 5.0
 #: Words whose terms a worker remembers.
 MEMO = 100_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -37,7 +40,7 @@ def word_terms(word: str) -> tuple[int, ...]:
 
 @dataclass
 class FactorizationMachine:
-    """Over the terms kept; row 0 stands for all others and is zero."""
+    """Over the terms of the training texts; row 0 stands for all others and is zero."""
 
     slot: np.ndarray = field(default_factory=lambda: np.zeros(1 << HASH_BITS, np.int32))
     bias: float = 0.0
@@ -50,17 +53,21 @@ class FactorizationMachine:
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of the kept terms of the whole text, and their values 1 + ln(count)."""
-        counts: dict[int, int] = {}
+        """Slots of the known terms of the whole text, and their values 1 + ln(count), scaled down where their norm is over NORM."""
         memo, slot = self.memo, self.slot
-        for word in WORD.findall(text.lower()):
-            if (found := memo.get(word)) is None:
-                found = tuple(int(slot[x]) for x in word_terms(word) if slot[x])
+        found: list[int] = []
+        sizes, times = [], []
+        for word, n in Counter(WORD.findall(text.lower())).items():
+            if (t := memo.get(word)) is None:
+                t = tuple(int(slot[x]) for x in word_terms(word) if slot[x])
                 if len(memo) < MEMO:
-                    memo[word] = found
-            for x in found:
-                counts[x] = counts.get(x, 0) + 1
-        return np.fromiter(counts, np.int64, len(counts)), 1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))
+                    memo[word] = t
+            found += t
+            sizes.append(len(t))
+            times.append(n)
+        at, where = np.unique(np.array(found, np.int64), return_inverse=True)
+        x = 1 + np.log(np.bincount(where, np.repeat(np.array(times, np.float64), np.array(sizes, np.int64)), len(at)))
+        return at, x / max(1.0, float(np.linalg.norm(x)) / NORM)
 
     def raw(self, at: np.ndarray, x: np.ndarray) -> float:
         vx = self.v[at] * x[:, None]
@@ -74,33 +81,29 @@ def sigmoid(x: float | np.ndarray) -> float | np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def select_terms(texts: list[str], labels: np.ndarray, most: int = 4_000, least: int = 3) -> np.ndarray:
-    """Term hashes that tell the labels apart: at least `least` texts hold them
-    and the log odds lie 2 standard errors from 0; of these the `most` clearest."""
-    on, off = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
+def known_terms(texts: list[str], least: int = 3) -> np.ndarray:
+    """Hashes of all terms that at least `least` texts hold, whatever their labels: a term may matter only beside another."""
+    held = np.zeros(1 << HASH_BITS, np.int64)
     memo: dict[str, tuple[int, ...]] = {}
-    for text, y in zip(texts, labels, strict=True):
+    for text in texts:
         found: set[int] = set()
         for word in set(WORD.findall(text.lower())):
             if (t := memo.get(word)) is None:
                 t = memo[word] = word_terms(word)
             found.update(t)
-        (on if y else off)[np.fromiter(found, np.int64, len(found))] += 1
-    n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    a, b = on + 0.5, off + 0.5
-    odds = np.log(a * (n0 - off + 0.5) / (b * (n1 - on + 0.5)))
-    z = np.where(on + off >= least, np.abs(odds) / np.sqrt(1 / a + 1 / b + 1 / (n1 - on + 0.5) + 1 / (n0 - off + 0.5)), 0)
-    best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(best[z[best] >= 2.0])
+        held[np.fromiter(found, np.int64, len(found))] += 1
+    return np.flatnonzero(held >= least)
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.1, l1: float = 3e-4, l2: float = 1e-3, seed: int = 11) -> FactorizationMachine:
-    """AdaGrad on the log loss, elastic net on the weights, l2 on the vectors; then a logistic calibration on every fifth text, which is kept out."""
+def fit(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.1, l1: float = 1e-3, l2: float = 3e-2, seed: int = 11) -> FactorizationMachine:
+    """AdaGrad on the log loss, elastic net on the weights, l2 on the vectors; then
+    a logistic calibration on every fifth text, which is kept out. The penalties
+    and NORM hold back the many terms that tell nothing, as no term is screened."""
     y = np.array(labels, dtype=np.int64)
     if len(set(labels)) < 2:
         return FactorizationMachine(bias=(-30.0 if not len(y) or not y[0] else 30.0))
     own = np.arange(len(y)) % 5 != 4 if len(y) >= 1000 else np.ones(len(y), bool)
-    kept = select_terms([t for t, o in zip(texts, own, strict=True) if o], y[own])
+    kept = known_terms([t for t, o in zip(texts, own, strict=True) if o])
     fm = FactorizationMachine()
     fm.slot[kept] = np.arange(1, len(kept) + 1, dtype=np.int32)
     rng = np.random.default_rng(seed)
@@ -108,7 +111,7 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.1
     data = [fm.terms(t) for t in texts]
     base = y[own].mean()
     fm.bias = float(np.log(base / (1 - base)))
-    gw, gv, gb = np.full(fm.w.shape, 1e-6), np.full(fm.v.shape, 1e-6), 1e-6
+    gw, gv, gb = np.full(fm.w.shape, 0.1), np.full(fm.v.shape, 0.1), 0.1
     for _ in range(epochs):
         for i in rng.permutation(np.flatnonzero(own)):
             at, x = data[i]
@@ -131,11 +134,15 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.1
     rest = ~own if (~own).any() else own
     raw = np.clip(np.array([fm.raw(*data[i]) for i in np.flatnonzero(rest)]), -20, 20)
     a, b, t = 1.0, 0.0, y[rest]
-    for _ in range(300):
+    for _ in range(50):  # Newton's method, in steps of 1 at most
         p = sigmoid(a * raw + b)
-        a -= 0.02 * (float(((p - t) * raw).mean()) + 0.01 * (a - 1))
-        b -= 0.1 * float((p - t).mean())
-    fm.slope, fm.shift = max(a, 0.05), b
+        q = p * (1 - p)
+        g = np.array([((p - t) * raw).sum() + (a - 1), (p - t).sum()])
+        h = np.array([[(q * raw * raw).sum() + 1, (q * raw).sum()], [(q * raw).sum(), q.sum() + 1e-3]])
+        da, db = (d := np.linalg.solve(h, g)) / max(1.0, float(np.abs(d).max()))
+        a, b = a - da, b - db
+    fm.slope, fm.shift = max(float(a), 0.05), float(b)
+    fm.memo.clear()
     return fm
 
 
