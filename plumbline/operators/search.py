@@ -8,7 +8,7 @@ smaller chunk_id. Only ids are ranked and fused; texts are joined last."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -155,6 +155,23 @@ def search(chunks: DataFrame, queries: DataFrame, targets: DataFrame, k: int = C
     return interleave(hybrid(chunks, queries, k, targets=targets, **options), targets, k)
 
 
+def sub_queries(queries: DataFrame, targets: DataFrame, rewrite: Callable[[Column, Column, Column], Column], encode: Callable[[Column], Column]) -> DataFrame:
+    """One row per question and company: rewrite(text, ticker, all tickers of the question), its terms and its vector."""
+    named = targets.groupBy("query_id").agg(F.array_sort(F.collect_set("ticker")).alias("named"))
+    each = queries.select("query_id", "text").join(targets, "query_id").join(named, "query_id")
+    each = each.select(*KEYS, rewrite(F.col("text"), F.col("ticker"), F.col("named")).alias("text"))
+    return each.withColumns({"terms": F.array_sort(F.array_distinct(tokens(F.col("text")))), "qv": encode(F.col("text"))})
+
+
+def decomposed(chunks: DataFrame, queries: DataFrame, targets: DataFrame, rewrite: Callable[[Column, Column, Column], Column], encode: Callable[[Column], Column], k: int = C.RETRIEVAL_TOP_K, **options) -> DataFrame:
+    """search() with a question of its own for each company. Questions without a company aren't searched."""
+    subs = sub_queries(queries, targets, rewrite, encode)
+    width = (targets.agg(F.max("pos")).first()[0] or 0) + 1
+    sub_id = (F.col("query_id") * width + F.col("pos")).alias("query_id")
+    hits = hybrid(chunks, subs.select(sub_id, "text", "terms", "qv"), k, targets=targets.select(sub_id, "ticker", "pos"), **options)
+    return interleave(hits.withColumn("query_id", F.expr(f"(query_id - pos) div {width}")), targets, k)
+
+
 STRATEGIES = {
     "semantic": lambda c, q, t, k: semantic(c, q, k),
     "keyword": lambda c, q, t, k: keyword(c, q, k),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import config as C
+from plumbline.functions import companies
 from plumbline.operators import metrics as M
 from plumbline.operators import search as S
 from plumbline.plans import workload as W
@@ -191,11 +192,20 @@ def t11(spark, d):
   FROM gold g LEFT JOIN h0 b USING (query_id, chunk_id) LEFT JOIN i1 a USING (query_id, chunk_id) GROUP BY 1""",
 )
 def a37(spark, d):
-    """What one list per company does to the gold's ranks."""
+    """What one list per company does to the gold's ranks."""
     c, q, t = _in(spark, d)
     return M.rank_movement(W.gold(spark, d), S.hybrid(c, q), S.search(c, q, t))
 
 
+@query("t10_decomposed")
+def t10(spark, d):
+    """What a question of its own for each company does to the gold's ranks in the first 200, where two or more are named."""
+    c, (q, t) = W.chunks(spark, d), W.named(spark, d)
+    rewrite = lambda text, keep, named: companies.sub_question(text, keep, named, W.ALIASES, {})
+    gold = W.gold(spark, d).join(q.select("query_id"), "query_id", "left_semi")
+    return M.rank_movement(gold, S.search(c, q, t, 200), S.decomposed(c, q, t, rewrite, W.encoder(spark, d), 200))
+
+
 @query("a46_missed", SCORES_SQL + " SELECT strategy, coalesce(list_sort(list(query_id) FILTER (hit = 0)), []) AS missed FROM scores GROUP BY 1")
 def a46(spark, d):
     return M.missed(scores(spark, d))

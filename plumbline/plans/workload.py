@@ -8,7 +8,9 @@ SQL, the second for comparison in another engine."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import tokens
@@ -43,6 +45,28 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("query_id", F.concat(F.lit("src"), ((F.col("query_id") * 7 + F.col("pos") * 3) % 20).cast("string")).alias("ticker"), "pos")
 
 
+def named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Questions that name two companies or more, "Do src1 and src4 say: ...", with their vectors by encoder(), and their targets."""
+    t = targets(spark, sf_dir)
+    names = t.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ticker"))).alias("t")).filter(F.size("t") > 1)
+    text = F.concat(F.lit("Do "), F.array_join(F.transform("t", lambda x: x["ticker"]), " and "), F.lit(" say: "), F.col("text"))
+    q = queries(spark, sf_dir).select("query_id", "text").join(names, "query_id").select("query_id", text.alias("text"))
+    q = q.withColumns({"terms": F.array_sort(F.array_distinct(tokens(F.col("text")))), "qv": encoder(spark, sf_dir)(F.col("text"))})
+    return q, t.join(names.select("query_id"), "query_id")
+
+
+def encoder(spark: SparkSession, sf_dir: str) -> Callable[[Column], Column]:
+    """A stand-in for an encoder: the sum of pseudo-random vectors of a text's tokens, of the tables' length; null without tokens."""
+    one = table(spark, sf_dir, "embeddings").filter("embedding is not null").select(F.size("embedding")).first()
+    n = one[0] if one else 1
+    at = lambda i, t: (F.pmod(F.xxhash64(t, i), F.lit(2001)) - 1000) / 1000.0
+    return lambda text: F.when(F.size(tokens(text)) > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.aggregate(tokens(text), F.lit(0.0), lambda s, t: s + at(i, t))))
+
+
+#: The names of targets() for rewriting.
+ALIASES = {f"src{n}": (f"src{n}",) for n in range(20)}
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold an item's text: one pass over the documents with the items, which grow with the data, broadcast."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
