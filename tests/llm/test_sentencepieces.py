@@ -26,26 +26,52 @@ def test_random_texts():
         same("".join(rng.choice("ab cde  the in ing er\n\té☃--#①日本語의") for _ in range(rng.randint(0, 90))))
 
 
-def test_window_is_bounded():
-    seen = []
+def prose(n, seed=4):
+    rng = random.Random(seed)
+    words = ["the", "inth", "Enter", "sheading", "éàç", "ﬁn.", "a\nb", "nation,", "über", "東京", "x" * 70]
+    return " ".join(rng.choice(words) + rng.choice(["", "s", "ing", "ation"]) for _ in range(n))
+
+
+def test_window_of_a_long_word():
     text = "".join(random.Random(3).choice("abcdefgh") for _ in range(20_000))
-    CODEC.on_commit = seen.append
-    assert CODEC.encode(text) == MODEL.encode(text)
-    CODEC.on_commit = None
-    assert len(seen) > 100 and max(seen) <= 10 * CODEC.longest
+    codec = sp.Codec(sp.load())
+    assert codec.encode(text) == MODEL.encode(text)
+    assert codec.commits > 100 and codec.widest <= 10 * codec.longest
+
+
+def test_prose_streams_through_the_window():
+    """160,000 characters through one sliding window: commits all along, few boundaries held."""
+    text = prose(24_000)[:160_000]
+    codec = sp.Codec(sp.load())
+    found = [ids for ids in codec.search(codec._normalized(text)) if ids]
+    assert [i for ids in found for i in ids] == MODEL.encode(text)
+    assert codec.commits > 2_000 and codec.widest <= 10 * codec.longest and max(map(len, found)) <= 10 * codec.longest
+
+
+def test_prose_in_lockstep():
+    text = prose(20_000)
+    codec = sp.Codec(sp.load())
+    assert codec.encode(text) == MODEL.encode(text)
+    assert codec.commits > 40 and codec.widest <= max(sp.WORD_CHARS + 1, 10 * codec.longest)
+
+
+def test_parts_and_generations(monkeypatch):
+    """Texts cut for normalisation, groups of few words and a small memory give the same ids."""
+    text = prose(3_000, 9) + "  two  spaces\n\nlines " + prose(50, 1)
+    for name, value in (("PART_CHARS", 100), ("GROUP", 50), ("MEMO", 5), ("PAIR_BITS", 4), ("PAIRS", 7)):
+        monkeypatch.setattr(sp, name, value)
+    codec = sp.Codec(sp.load())
+    assert len(list(codec._normalized(text))) > 100
+    assert codec.encode(text) == MODEL.encode(text)
+    assert [i for ids in codec.search(codec._normalized(text)) for i in ids] == MODEL.encode(text)
 
 
 def test_unigram_search():
     """A unigram model's search against all segmentations."""
     codec = sp.Codec.__new__(sp.Codec)
     pieces = {"a": -2.0, "b": -2.5, "c": -3.0, "ab": -3.2, "bc": -4.4, "abc": -5.9, "ca": -4.0, "aa": -3.9}
-    codec.kind, codec.ids, codec.score = sp.UNIGRAM, {p: i for i, p in enumerate(pieces)}, list(pieces.values())
-    codec.longest, codec.pieces, codec.extra, codec.ends, codec.apart, codec.on_commit = 3, list(pieces), {}, {}, {}, None
-    for text, i in codec.ids.items():
-        node = codec.ends
-        for c in reversed(text):
-            node = node.setdefault(c, {})
-        node[""] = i
+    codec.bytes = {}
+    codec._prepare(sp.UNIGRAM, list(pieces), list(pieces.values()), {p: i for i, p in enumerate(pieces)})
 
     def best(text, memo={}):  # noqa: B006
         if text not in memo:
@@ -55,8 +81,9 @@ def test_unigram_search():
     rng = random.Random(1)
     for _ in range(300):
         text = "".join(rng.choice("abc") for _ in range(rng.randint(1, 60)))
-        ids = codec.search(text)
-        assert "".join(codec.pieces[i] for i in ids) == text
+        cut = rng.randint(0, len(text))
+        ids = [i for part in codec.search((text[:cut], text[cut:])) for i in part]
+        assert "".join(codec.text[i] for i in ids) == text
         assert sum(codec.score[i] for i in ids) == pytest.approx(best(text))
 
 
