@@ -11,6 +11,7 @@ import html
 import math
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -20,15 +21,14 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import table
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
-    re.DOTALL,
-)
+#: A tag; quotes hide its end only where a value starts. LAX_TAG is for pages in which a quote is never closed.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
+LAX_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-# Fixed values of the HTML standard: elements without content, elements whose content isn't markup or text, and elements that start a block.
+# Fixed values of the HTML standard: elements without content, elements whose content isn't part of the page's text, and elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select datalist canvas video audio".split())
+RAW = frozenset("script style noscript template textarea title select datalist".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table caption tbody td tfoot th thead tr ul button label".split())
 #: An opening tag ends open elements of these names, unless one of the second set lies between.
 ENDS = {
@@ -46,100 +46,177 @@ ENDS = {
 HOLDERS = frozenset("article aside dialog footer form header main nav section".split())
 
 
+class Node:
+    """An element with a link to the one that holds it: what all blocks in it have in common is stated once."""
+
+    __slots__ = ("blocks", "blocky", "holder", "named", "new", "number", "parent", "path", "tag", "names")
+
+    def __init__(self, number: int, parent: Node | None, tag: str, names: tuple[str, ...], new: tuple[str, ...], path: int) -> None:
+        self.number, self.parent, self.tag, self.names, self.new, self.path = number, parent, tag, names, new, path
+        self.blocky = tag in BLOCK
+        up = parent.blocks if parent else ()
+        #: The last two block tags, and the last tag that says what a part of a page is.
+        self.blocks = (*up[-1:], tag) if self.blocky else up
+        self.holder = tag if tag in HOLDERS else parent.holder if parent else "none"
+        self.named = bool(names) or (parent is not None and parent.named)
+
+
 @dataclass
 class Block:
     text: str
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    node: Node
     linked: int
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    """The page's blocks in order. Comments, scripts, styles and other raw
-    elements give no text; unclosed elements end where the standard ends them."""
+class Elements:
+    """The open elements; every step takes constant time but for elements that it closes."""
+
+    def __init__(self) -> None:
+        self.root = Node(0, None, "", (), (), 0)
+        self.nodes, self.stack = [self.root], [self.root]
+        #: Places on the stack by tag, and of block elements; open elements by class, id and role word; numbers of paths of tags.
+        self.places: dict[str, list[int]] = {}
+        self.block_places: list[int] = []
+        self.held: dict[str, int] = {}
+        self.paths: dict[tuple[int, str], int] = {}
+
+    def top(self, tags: Iterable[str]) -> int:
+        """The highest place of an open element with one of the tags; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def links(self) -> int:
+        return len(self.places.get("a", ()))
+
+    def open(self, tag: str, names: tuple[str, ...]) -> None:
+        at, parent = len(self.stack), self.stack[-1]
+        words = dict.fromkeys(names)
+        new = [f"name:{x}" for x in words if not self.held.get(x)]
+        if tag in BLOCK:
+            if not self.places.get(tag):
+                new.append(f"in:{tag}")
+            self.block_places.append(at)
+        for x in words:
+            self.held[x] = self.held.get(x, 0) + 1
+        self.places.setdefault(tag, []).append(at)
+        path = self.paths.setdefault((parent.path, tag), len(self.paths) + 1)
+        node = Node(len(self.nodes), parent, tag, names, tuple(new), path)
+        self.nodes.append(node)
+        self.stack.append(node)
+
+    def close(self, at: int) -> None:
+        """Close the element at a place and all in it."""
+        while len(self.stack) > at:
+            node = self.stack.pop()
+            self.places[node.tag].pop()
+            if node.blocky:
+                self.block_places.pop()
+            for x in dict.fromkeys(node.names):
+                self.held[x] -= 1
+
+
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}\b[^>]*+>", re.IGNORECASE)
+
+
+def parse(page: str) -> tuple[list[Block], list[Node]]:
+    """The page's blocks in order, and all elements, each after the one that
+    holds it. Comments, scripts, styles and other raw elements give no text, a
+    raw element of a form that nothing closes is skipped alone; unclosed
+    elements end where the standard ends them, an unfinished tag at the end of
+    the page is dropped. Time and memory are in proportion to the page."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    elements = Elements()
     parts: list[str] = []
-    links, linked, at = 0, 0, 0
+    linked = at = 0
+    tag_at, endless = TAG, set()
 
     def flush() -> None:
         nonlocal linked
         if parts:
             if text := " ".join("".join(parts).split()):
-                out.append(Block(text, tuple(t for t, _ in stack), tuple(n for _, names in stack for n in names), linked))
+                out.append(Block(text, elements.stack[-1], linked))
             parts.clear()
             linked = 0
 
-    def cut(depth: int) -> None:
-        nonlocal links
-        if any(t in BLOCK for t, _ in stack[depth:]):
+    def close(place: int) -> None:
+        if elements.block_places and elements.block_places[-1] >= place:
             flush()
-        links -= sum(t == "a" for t, _ in stack[depth:])
-        del stack[depth:]
+        elements.close(place)
 
     def text(raw: str) -> None:
         nonlocal linked
         raw = html.unescape(raw) if "&" in raw else raw
         parts.append(raw)
-        if links:
+        if elements.links():
             linked += len(raw.strip())
 
-    while m := TAG.search(page, at):
-        if m.start() > at:
-            text(page[at : m.start()])
-        at, name = m.end(), m[2]
-        if name is None:
+    while (lt := page.find("<", at)) >= 0:
+        if lt > at:
+            text(page[at:lt])
+        after = page[lt + 1 : lt + 2]
+        letter = page[lt + 2 : lt + 3] if after == "/" else after
+        if after in ("!", "?") or (after == "/" and not (letter.isascii() and letter.isalpha())):
+            comment = page.startswith("<!--", lt)
+            end = page.find("-->" if comment else ">", lt + 2)
+            at = len(page) if end < 0 else end + (3 if comment else 1)
+            continue
+        if not (letter.isascii() and letter.isalpha()):
+            text("<")
+            at = lt + 1
             continue
-        name = name.lower()
+        m = tag_at.match(page, lt)
+        if m is None and tag_at is TAG:
+            # A quote that nothing closes: from here on a tag ends at its first >.
+            tag_at = LAX_TAG
+            m = tag_at.match(page, lt)
+        if m is None:
+            at = len(page)
+            break
+        at, name = m.end(), m[2].lower()
         if m[1]:
             if name in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    cut(i)
-                    break
-                if stack[i][0] in BLOCK and name not in BLOCK:
-                    break
+            place = elements.top((name,))
+            if place and (name in BLOCK or not elements.block_places or elements.block_places[-1] < place):
+                close(place)
             continue
         if name in RAW:
-            if not (m[3].endswith("/") and name in ("svg", "math")):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page)
-            parts.append(" ")
+            if name not in endless:
+                if end := _raw_end(name).search(page, at):
+                    at = end.end()
+                else:
+                    endless.add(name)
+                    if name in ("script", "style"):
+                        at = len(page)
             continue
         if name in BLOCK:
             flush()
             names, stops = ENDS.get(name, ({"p"}, {"table", "td", "th", "button"}))
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in names:
-                    cut(i)
-                    break
-                if stack[i][0] in stops:
-                    break
+            if (place := elements.top(names)) > elements.top(stops - names):
+                close(place)
         if name in VOID:
-            parts.append(" ")
+            if name == "br":
+                parts.append(" ")
             continue
-        if name == "a":
-            links += 1
         found = [p.lower() for a in ATTRIBUTE.finditer(m[3]) for p in NAME_PART.findall(a[2] or a[3] or a[4] or "")] if "=" in m[3] else []
-        stack.append((name, tuple(found)))
+        elements.open(name, tuple(found))
     if at < len(page):
         text(page[at:])
     flush()
-    return out
+    return out, elements.nodes
 
 
-def block_features(block: Block, before: Block | None) -> tuple[str, ...]:
-    """Ancestor tags, ancestors' class, id and role words, and shape of the text."""
-    text, tags = block.text, block.tags
+def leaf_blocks(page: str) -> list[Block]:
+    return parse(page)[0]
+
+
+def own_features(block: Block, before: Block | None) -> tuple[str, ...]:
+    """What the holding element and the shape of the text say; what all ancestors say is in Node.new."""
+    text, node = block.text, block.node
     n = len(text)
-    out = ["bias", *{f"in:{t}" for t in tags if t in BLOCK}, *{f"name:{x}" for x in block.names}]
-    own = next((t for t in reversed(tags) if t in BLOCK), "none")
-    out.append(f"own:{own}")
-    blocks = [t for t in tags if t in BLOCK]
-    out.append(f"path:{'>'.join(blocks[-2:])}")
-    out.append(f"holder:{next((t for t in reversed(blocks) if t in HOLDERS), 'none')}")
-    out.append("named" if block.names else "unnamed")
+    out = ["bias", f"own:{node.blocks[-1] if node.blocks else 'none'}", f"path:{'>'.join(node.blocks)}", f"holder:{node.holder}"]
+    out.append("named" if node.named else "unnamed")
     out.append(f"long:{min(5, n.bit_length() // 2)}")
     out.append(f"links:{min(4, round(4 * block.linked / n))}")
     if text[0] in "©" or "©" in text[:40]:
@@ -148,11 +225,21 @@ def block_features(block: Block, before: Block | None) -> tuple[str, ...]:
         out.append("stop")
     if before is None:
         out.append("first")
-    elif before.tags == tags:
+    elif before.node.path == node.path:
         out.append("same place")
     return tuple(out)
 
 
+def block_features(block: Block, before: Block | None) -> tuple[str, ...]:
+    """All features of a block: its own, and ancestors' tags and class, id and role words."""
+    above: list[str] = []
+    node: Node | None = block.node
+    while node is not None:
+        above += node.new
+        node = node.parent
+    return own_features(block, before) + tuple(above)
+
+
 @dataclass
 class ChainField:
     """Two labels, 1 for main text: a weight per feature for label 1 and a weight per step between labels."""
@@ -348,10 +435,20 @@ def default_model(pages: int = 600, seed: int = 5) -> ChainField:
     return ChainField().fit(training_pages(pages, seed))
 
 
+def emissions(blocks: list[Block], nodes: list[Node], model: ChainField) -> list[float]:
+    """A score per block; what ancestors add is summed once an element, from the outermost on."""
+    above = [0.0] * len(nodes)
+    for node in nodes[1:]:
+        above[node.number] = above[node.parent.number] + (model.emission(node.new) if node.new else 0.0)
+    return [above[b.node.number] + model.emission(own_features(b, a)) for a, b in zip([None, *blocks], blocks, strict=False)]
+
+
 def main_text(page: str | None, model: ChainField) -> str:
     """Main blocks, joined by an empty line; empty for a null page or one without text."""
-    blocks = leaf_blocks(page) if page else []
-    labels = model.decode([model.emission(f) for f in features_of(blocks)])
+    if not page:
+        return ""
+    blocks, nodes = parse(page)
+    labels = model.decode(emissions(blocks, nodes, model))
     return "\n\n".join(b.text for b, y in zip(blocks, labels, strict=True) if y)
 
 

@@ -1,4 +1,7 @@
 import random
+import time
+
+import pytest
 
 from plumbline.llm import extraction as ex
 
@@ -18,7 +21,48 @@ def test_blocks():
     assert [b.text for b in ex.leaf_blocks(page)] == ["One & two three", "four five", "a", "b", "l tail"]
     assert [b.linked for b in ex.leaf_blocks(page)] == [0, 0, 0, 0, 1]
     assert ex.leaf_blocks("") == [] and [b.text for b in ex.leaf_blocks("a < b > c <3 \" ' <p class=\"x>")] and [b.text for b in ex.leaf_blocks("plain")] == ["plain"]
-    assert ex.leaf_blocks('<article class="Post-Body"><P id=q1>x')[0].tags == ("article", "p") and "body" in ex.leaf_blocks('<article class="Post-Body"><P>x')[0].names
+    node = ex.leaf_blocks('<article class="Post-Body"><P id=q1>x')[0].node
+    assert node.blocks == ("article", "p") and node.parent.names == ("post", "body") and {"in:article", "in:p", "name:body", "name:q"} < set(ex.block_features(ex.Block("x", node, 0), None))
+
+
+def test_words_stay_whole():
+    """What isn't white space on the page puts none into a word; only scripts, styles and the like go."""
+    text = lambda page: ex.main_text(f"<article><h1>Title of the page</h1><p>{page}</p><p>And a second paragraph.</p></article>", MODEL).split("\n\n")[1:-1]
+    assert text("super<wbr>cali<img src=x>fragi<script>x()</script>listic one<br>two") == ["supercalifragilistic one two"]
+    for tag in ("math", "object", "iframe", "video", "audio", "canvas", "svg"):
+        assert text(f"where <{tag} a=1><b>E</b></{tag}> is energy") == ["where E is energy"]
+    assert text("one <select><option>two</select> three <!-- four --> five") == ["one three five"]
+    assert text("one <select> two <textarea> three") == ["one two three"]
+
+
+def test_quotes():
+    text = lambda page: [b.text for b in ex.leaf_blocks(page)]
+    assert text('<p title="a > b" x=\'>\'>one</p>') == ["one"]
+    assert text("<p title=it's>one</p><p \">two</p>") == ["one", "two"]
+    assert text('<p>one</p><p title="x>two</p><p>three') == ["one", "two", "three"]
+    assert text("<p>one</p><p clas") == ["one"] and text("5 < 6 </ x> <é> &lt;b") == ["5 < 6 <é> <b"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>x" * 100_000, "<div class=a>" * 100_000 + "</section>" * 100_000, "<b>" * 100_000 + "<p>" + "</i>" * 100_000, "<i><p>" + "<b>" * 100_000 + "</i>" * 100_000,
+        "<span class='" + " ".join(f"n{i}" for i in range(1000)) + "'>" + "<p>x" * 100_000, '<a "' * 250_000, '<a ="' * 200_001, "<a ='\"" * 170_000, "<a title='" * 100_000 + ">" * 10, "<select>" * 100_000, "<!" * 500_000, "<" * 1_000_000, "</" * 500_000 + ">",
+        "".join(f"<div class=c{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}>x" for i in range(50_000)),
+    ],
+    ids=range(14),
+)
+def test_hostile_pages_in_time(page):
+    start = time.monotonic()
+    ex.main_text(page, MODEL)
+    assert time.monotonic() - start < 5
+
+
+def test_sums_of_elements_are_the_features():
+    rng = random.Random(6)
+    for _ in range(60):
+        blocks, nodes = ex.parse(ex.labelled_page(rng)[0])
+        assert ex.emissions(blocks, nodes, MODEL) == pytest.approx([MODEL.emission(f) for f in ex.features_of(blocks)])
 
 
 def test_junk_goes():
