@@ -392,11 +392,22 @@ def f11(spark, d):
     return spark.createDataFrame(QUESTIONS, "id long, question string").select("id", companies.detect(F.col("question")).alias("tickers"))
 
 
-@query("f12_sub_questions")
+@query(
+    "f12_sub_questions",
+    W.with_views(
+        r"""
+SELECT query_id, ticker, trim(regexp_replace(regexp_replace('Do ' || ticker || ' say: ' || text, '\s+', ' ', 'g'), ' ([,?.!])', '\1', 'g'), ' ,') AS sub_question
+FROM targets JOIN queries USING (query_id) WHERE query_id IN (SELECT query_id FROM targets GROUP BY 1 HAVING count(*) > 1)""",
+        "targets",
+        "queries",
+    ),
+)
 def f12(spark, d):
-    """the question with only one of its companies; the tests state the texts."""
-    q = spark.createDataFrame([(4, "How do Columbia Sportswear and Under Armour compare?"), (9, "Do both Warby Parker & Figs grow?")], "id long, question string")
-    return q.select("id", companies.strip_others(F.col("question"), "UAA", ("COLM", "UAA")).alias("under_armour"), companies.strip_others(F.col("question"), "FIGS", ("WRBY", "FIGS")).alias("figs"))
+    """every question that names several companies, with each of them alone."""
+    q, t = W.named(spark, d, with_vectors=False)
+    named = t.groupBy("query_id").agg(F.collect_list("ticker").alias("named"))
+    rows = t.join(q, "query_id").join(named, "query_id")
+    return rows.select("query_id", "ticker", companies.sub_question(F.col("text"), F.col("ticker"), F.col("named"), W.ALIASES, {}).alias("sub_question"))
 
 
 @query("f2_html_to_text")

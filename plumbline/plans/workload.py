@@ -29,8 +29,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items as questions; all their distinct tokens are terms. The SQL below still
-    cuts them to the first two, so results by terms differ from it."""
+    """Items as questions; all their distinct tokens are terms."""
     items, vectors = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "embeddings")
     rows = items.join(vectors, items.item_id == vectors.vec_id, "left")
     terms = F.array_sort(F.array_distinct(tokens(items.text)))
@@ -45,13 +44,14 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("query_id", F.concat(F.lit("src"), ((F.col("query_id") * 7 + F.col("pos") * 3) % 20).cast("string")).alias("ticker"), "pos")
 
 
-def named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Questions that name two companies or more, "Do src1 and src4 say: ...", with their vectors by encoder(), and their targets."""
+def named(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Questions that name two companies or more, "Do src1 and src4 say: ...", with terms and vectors by encoder() if wanted, and their targets."""
     t = targets(spark, sf_dir)
     names = t.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ticker"))).alias("t")).filter(F.size("t") > 1)
     text = F.concat(F.lit("Do "), F.array_join(F.transform("t", lambda x: x["ticker"]), " and "), F.lit(" say: "), F.col("text"))
     q = queries(spark, sf_dir).select("query_id", "text").join(names, "query_id").select("query_id", text.alias("text"))
-    q = q.withColumns({"terms": F.array_sort(F.array_distinct(tokens(F.col("text")))), "qv": encoder(spark, sf_dir)(F.col("text"))})
+    if with_vectors:
+        q = q.withColumns({"terms": F.array_sort(F.array_distinct(tokens(F.col("text")))), "qv": encoder(spark, sf_dir)(F.col("text"))})
     return q, t.join(names.select("query_id"), "query_id")
 
 
@@ -91,7 +91,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 VIEWS = {
     "chunks": """chunks AS (SELECT d.doc_id AS chunk_id, d.source AS doc_key, d.lang AS item_section, d.doc_id::INTEGER AS chunk_index, len(regexp_extract_all(lower(d.text), '[a-z0-9]+'))::INTEGER AS token_count,
   d.text AS content, e.embedding::DOUBLE[] AS embedding FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)""",
-    "queries": """queries AS (SELECT b.item_id AS query_id, b.text, list_slice(list_sort(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+'))), 1, 2) AS terms, e.embedding::DOUBLE[] AS qv
+    "queries": """queries AS (SELECT b.item_id AS query_id, b.text, list_sort(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+'))) AS terms, e.embedding::DOUBLE[] AS qv
   FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)""",
     "targets": """targets AS (SELECT item_id AS query_id, 'src' || ((item_id * 7 + p * 3) % 20)::VARCHAR AS ticker, p::INTEGER AS pos FROM benchmark, range(3) r(p) WHERE p < item_id % 4)""",
     "gold": """gold AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))""",

@@ -18,6 +18,19 @@ def test_sub_question_is_strip_others(spark):
         assert got[0] == got[1]
 
 
+def test_what_stays_of_a_question(spark):
+    cases = [
+        ("How do Deckers Outdoor and Abercrombie & Fitch compare?", ["DECK", "ANF"], {"DECK": "How do Deckers Outdoor compare?", "ANF": "How do Abercrombie & Fitch compare?"}),
+        ("Do both Levi Strauss & Co, Gap Inc, and Urban Outfitters, Inc grow?", ["LEVI", "GAP", "URBN"], {"LEVI": "Do Levi Strauss & Co grow?", "GAP": "Do Gap Inc grow?", "URBN": "Do Urban Outfitters, Inc grow?"}),
+        ("Were Etsy's or Crocs' margins wider, and why?", ["ETSY", "CROX"], {"ETSY": "Were Etsy's margins wider, and why?", "CROX": "Were Crocs' margins wider, and why?"}),
+        ("Compare sales of Nike with those of Peloton.", ["NKE", "PTON"], {"NKE": "Compare sales of Nike with those of.", "PTON": "Compare sales of with those of Peloton."}),
+        ("Is it Chewy, or is it Wayfair?", ["CHWY", "W"], {"CHWY": "Is it Chewy, or is it?", "W": "Is it is it Wayfair?"}),
+    ]
+    rows = spark.createDataFrame([(q, k, named, want) for q, named, each in cases for k, want in each.items()], "q string, keep string, named array<string>, want string")
+    got = rows.select("want", companies.sub_question(F.col("q"), F.col("keep"), F.col("named")).alias("got")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
 def test_each_company_is_searched_by_its_own_question(spark):
     c = spark.createDataFrame([(1, "CROX", "x", 1, 1, "crocs crocs etsy", [1.0, 0.0]), (2, "CROX", "x", 2, 1, "etsy " * 6, [0.0, 1.0]), (3, "ETSY", "x", 1, 1, "crocs crocs crocs", [0.0, 1.0]), (4, "ETSY", "x", 2, 1, "etsy", [1.0, 0.0])], DDL)
     q = spark.createDataFrame([(7, "Do both Crocs and Etsy grow?", ["crocs", "etsy"], [0.0, 1.0])], "query_id long, text string, terms array<string>, qv array<double>")
