@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words of the corpus contracts: runs of anything but ASCII white space.
@@ -14,6 +15,8 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 #: A lookup table of at most this many rows is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 50_000
+#: Rows of texts that Python workers get at a time, and bytes of a sample of texts that the driver gets.
+BATCH_ROWS, SAMPLE_BYTES = 1_000, 96 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,25 +26,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in spark.checkpoint.dir; a temporary folder is set
-    only where that is unset, as in tests on one machine."""
+    The cluster names it in spark.checkpoint.dir. Only where executors are
+    threads of the driver, as in tests, is a temporary folder set instead."""
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, within: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage there,
-    so that a lost executor costs a read of files and no earlier stage."""
+    so that a lost executor costs a read of files and no earlier stage. The
+    path is appended to within, whose owner removes it when nothing reads it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if within is not None:
+        within.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of materialize() and empty the list."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Have Spark hand whole texts to Python workers by at most `rows`: a batch
+    is in memory several times on both sides. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def lookup(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """small, marked for broadcast if a count of its rows proves it small."""
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
@@ -60,3 +84,21 @@ def learnable(doc_id: Column) -> Column:
 
 def held_out(doc_id: Column) -> Column:
     return ~learnable(doc_id)
+
+
+def bounded_sample(rows: DataFrame, limit: int, nbytes: int = SAMPLE_BYTES, order: tuple[str, ...] = ("h",), per: str | None = None) -> DataFrame:
+    """The first rows of rows(size, ...) by order, at most limit of them, whose
+    sizes add up to at most nbytes; the first one always. With per, rows take
+    turns by their value there, so that a rare value isn't left out. Ties in
+    order share all that counts. Runs on ids and sizes alone: limit rows, after
+    a cut that each task makes by itself, are ordered in one place."""
+    if per is not None:
+        turn = Window.partitionBy(per).orderBy(*order)
+        # Spark cuts each task's rows by row_number before the exchange.
+        rows = rows.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= limit)
+        order = ("_turn", *order)
+    first = rows.orderBy(*order).limit(limit)
+    total = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    place = F.row_number().over(Window.orderBy(*order))
+    kept = first.withColumns({"_total": total, "_place": place}).filter((F.col("_total") <= nbytes) | (F.col("_place") == 1))
+    return kept.drop("_turn", "_total", "_place")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import hash60, held_out, learnable, table
+from plumbline.llm.common import SAMPLE_BYTES, bounded_sample, hash60, held_out, learnable, small_batches, table
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -172,23 +172,28 @@ def fit(texts: list[str], langs: list[str], idf: np.ndarray, alpha: float = 0.5,
     return LanguageModel(languages, full * idf[:, None], zb, float(temperatures[int(np.argmin(losses))]))
 
 
-def train(docs: DataFrame, limit: int = TRAIN_DOCS, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
-    """Fit on at most limit documents, those with the least hashes, of the rows
-    with a language whose crc32(doc_id) mod 3 isn't 1. The inverse document
-    frequencies cover all such rows."""
+def train(docs: DataFrame, limit: int = TRAIN_DOCS, nbytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
+    """Fit on at most limit documents and nbytes of them, of the rows with a
+    language whose crc32(doc_id) mod 3 isn't 1: languages take turns with their
+    least hashes, repeated rows count once. The inverse document frequencies
+    cover all such rows."""
+    small_batches(docs.sparkSession)
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & learnable(F.col(doc_id)))
     n, df = document_frequencies(rows, text)
     idf = np.log((1 + n) / (1 + df)) + 1
-    ids = rows.select(F.col(doc_id).alias("_li_id"), hash60(F.col(doc_id)).alias("_li_h")).orderBy("_li_h").limit(limit).select("_li_id").distinct()
-    # At most limit rows on either side of the driver.
-    sample = rows.join(F.broadcast(ids), F.col(doc_id) == F.col("_li_id")).select(hash60(F.col(doc_id)).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text")).limit(limit).toPandas()
-    sample = sample.sort_values(["h", "text"]).drop_duplicates(["lang", "text"])
+    keyed = rows.select(hash60(F.col(doc_id)).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("same"))
+    # Repeated rows count once; hashes alone are dealt and ordered.
+    each = keyed.groupBy("h", "lang", "same").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
+    chosen = F.broadcast(bounded_sample(each, limit, nbytes, ("h", "lang", "same"), "lang").drop("size"))
+    sample = keyed.join(chosen, ["h", "lang", "same"]).groupBy("h", "lang", "same").agg(F.first("text").alias("text")).toPandas()
+    sample = sample.sort_values(["h", "text", "lang"]).drop_duplicates(["lang", "text"])
     return fit(sample["text"].tolist(), sample["lang"].tolist(), idf)
 
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
     """docs with the language and its score; columns of these names are replaced.
     A null text, or one without a letter, is und with score 0."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import hash60, held_out, learnable, table
+from plumbline.llm.common import SAMPLE_BYTES, bounded_sample, hash60, held_out, learnable, small_batches, table
 
 HASH_BITS = 20
 #: Beginnings of words are terms too, so that inflected and joined forms share them.
@@ -29,7 +29,7 @@ THRESHOLD = 0.7
 #: Largest norm of a text's values.
 NORM = 5.0
 #: Words whose terms a worker remembers.
-MEMO = 100_000
+MEMO = 60_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -50,23 +50,24 @@ class FactorizationMachine:
     shift: float = 0.0
 
     def __post_init__(self) -> None:
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Slots of the known terms of the whole text, and their values 1 + ln(count), scaled down where their norm is over NORM."""
-        memo, slot = self.memo, self.slot
-        found: list[int] = []
-        sizes, times = [], []
-        for word, n in Counter(WORD.findall(text.lower())).items():
+        memo = self.memo
+        found = []
+        counts = Counter(WORD.findall(text.lower()))
+        for word in counts:
             if (t := memo.get(word)) is None:
-                t = tuple(int(slot[x]) for x in word_terms(word) if slot[x])
+                t = self.slot[list(word_terms(word))]
+                t = t[t > 0].tobytes()
                 if len(memo) < MEMO:
                     memo[word] = t
-            found += t
-            sizes.append(len(t))
-            times.append(n)
-        at, where = np.unique(np.array(found, np.int64), return_inverse=True)
-        x = 1 + np.log(np.bincount(where, np.repeat(np.array(times, np.float64), np.array(sizes, np.int64)), len(at)))
+            found.append(t)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        times = np.fromiter(counts.values(), np.float64, len(found))
+        at, where = np.unique(np.frombuffer(b"".join(found), np.int32).astype(np.int64), return_inverse=True)
+        x = 1 + np.log(np.bincount(where, np.repeat(times, sizes), len(at)))
         return at, x / max(1.0, float(np.linalg.norm(x)) / NORM)
 
     def raw(self, at: np.ndarray, x: np.ndarray) -> float:
@@ -146,21 +147,29 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.1
     return fm
 
 
-def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, doc_id: str = "doc_id", text: str = "text") -> FactorizationMachine:
-    """Fit on at most limit labelled documents, those with the least hashes, of
-    those whose crc32(doc_id) mod 3 isn't 1. Null labels and ids teach nothing;
+def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS, nbytes: int = SAMPLE_BYTES, doc_id: str = "doc_id", text: str = "text") -> FactorizationMachine:
+    """Fit on at most limit labelled documents and nbytes of them, those with
+    the least hashes, of those whose crc32(doc_id) mod 3 isn't 1; repeated rows count once. Null labels and ids teach nothing;
     a document with two labels is toxic if one of them is."""
+    spark = docs.sparkSession
+    small_batches(spark)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learnable(F.col("doc_id")))
-    known = known.groupBy(F.col("doc_id").alias("_tx_id")).agg(F.max("toxic").alias("_tx_label"))
-    ids = docs.select(F.col(doc_id).alias("_tx_id")).distinct().join(known, "_tx_id").withColumn("_tx_h", hash60(F.col("_tx_id"))).orderBy("_tx_h", "_tx_id").limit(limit)
-    # At most limit rows on either side of the driver.
-    sample = docs.join(F.broadcast(ids), F.col(doc_id) == F.col("_tx_id")).select(F.col("_tx_h").alias("h"), F.col("_tx_label").alias("toxic"), F.coalesce(F.col(text), F.lit("")).alias("text")).limit(limit).toPandas()
+    known = known.groupBy(F.col("doc_id").alias("_tx_id")).agg(F.max("toxic").alias("toxic"))
+    texts = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_tx_id"), F.octet_length(texts).cast("long").alias("size"), F.xxhash64(texts).alias("same"))
+    # Repeated rows count once; ids and hashes alone are dealt and ordered.
+    rows = rows.join(known, "_tx_id").groupBy("_tx_id", "same").agg(F.max("toxic").alias("toxic"), F.max("size").alias("size")).withColumn("h", hash60(F.col("_tx_id")))
+    chosen = F.broadcast(bounded_sample(rows, limit, nbytes, ("h", "_tx_id", "same")))
+    sample = docs.join(chosen, (F.col(doc_id) == F.col("_tx_id")) & (F.xxhash64(texts) == F.col("same")))
+    # A chosen row stands for all that repeat it.
+    sample = sample.groupBy("h", "_tx_id", "same").agg(F.first(texts).alias("text"), F.first(chosen["toxic"]).alias("toxic")).toPandas()
     sample = sample.sort_values(["h", "text"])
     return fit(sample["text"].tolist(), sample["toxic"].clip(0, 1).astype(int).tolist())
 
 
 def score(docs: DataFrame, model: FactorizationMachine, text: str = "text", out: str = "toxicity") -> DataFrame:
     """docs with the toxicity in out, from 0 to 1; a column of this name is replaced. A null text scores as an empty one."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
