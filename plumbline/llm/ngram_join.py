@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import lookup, materialize, table
+from plumbline.llm.common import hash60, lookup, materialize, remove, small_batches, table
 
 WORDS = 5
 #: Linked when OF * intersection >= PART * union.
@@ -40,8 +40,10 @@ PART, OF = 80, 100
 PART_MEMBERS, PART_SHINGLES = 2_000, 4_000_000
 #: A shingle is frequent if at least so many documents and this share of all have it; most such shingles kept.
 FREQUENT_LEAST, FREQUENT_SHARE, FREQUENT_MOST = 32, 20_000, 500_000
+#: Shingles that a task counts at a time.
+COUNTED = 1_000_000
 LEAF, FANOUT = 16, 4
-_MEMO = 200_000
+_MEMO = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -219,23 +221,33 @@ def links(keys: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """The frequent shingles, sorted. They only set the order of shingles, which
-    every document shares, so a shingle missed here changes no result. A task
-    counts what it reads and passes on what it has three times; the driver gets
-    at most FREQUENT_MOST numbers."""
+    """The frequent shingles, sorted, by estimate. They only set the order of
+    shingles, which every document shares, so an error here changes no result.
+
+    A task counts what it reads in stretches of COUNTED shingles. It passes on
+    what a stretch has three times, and of the rest every 16th by a hash that
+    differs between stretches, which then counts 16 times: a shingle that is
+    spread thinly over many tasks is found as well. The driver gets at most
+    FREQUENT_MOST numbers."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
         shingler, held, size = Shingler(words), [], 0
+        seed = np.random.default_rng(TaskContext.get().partitionId())
 
         def out() -> pd.DataFrame:
             at, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"token": at[n > 2].view(np.int64), "n": n[n > 2].astype(np.int64)})
+            few = n < 3
+            drawn = ((at ^ seed.integers(0, 1 << 63, dtype=np.uint64)) * _STEP) >> np.uint64(60) == 0
+            n = np.where(few, n * 16, n)[kept := ~few | drawn]
+            return pd.DataFrame({"token": at[kept].view(np.int64), "n": n.astype(np.int64)})
 
         for pdf in batches:
             for text in pdf["text"]:
                 held.append(shingler(text))
                 size += held[-1].size
-                if size > 2_000_000:
+                if size > COUNTED:
                     yield out()
                     held, size = [], 0
         if held:
@@ -335,26 +347,31 @@ def _linked(units: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return _dealt(rows).mapInPandas(run, "child long, parent long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, within: list[str]) -> DataFrame:
     """(child, root) of all vertices that aren't the smallest of their component,
     from edges (child, parent) with parent < child.
 
     Rounds of: a vertex keeps its smallest parent and hands the others to it;
     then every vertex moves to its parent's parent. Each round is written to
-    the shared folder; nothing but two counts reaches the driver."""
-    edges = materialize(edges.distinct(), "join-edges")
+    the shared folder, the last one stays there under a path in within; nothing
+    but two counts reaches the driver."""
+    spark, old, new = edges.sparkSession, [], []
+    edges = materialize(edges.distinct(), "join-edges", old)
     while True:
         least = F.min("parent").over(_by("child"))
         hooked = edges.withColumn("least", least)
         hooked = hooked.select("child", F.col("least").alias("parent")).unionByName(hooked.filter("parent <> least").select(F.col("parent").alias("child"), F.col("least").alias("parent"))).distinct()
-        hooked = materialize(hooked, "join-hooked")
+        hooked = materialize(hooked, "join-hooked", old)
         up = hooked.groupBy(F.col("child").alias("mid")).agg(F.min("parent").alias("up"))
         moved = hooked.join(up, F.col("parent") == F.col("mid"), "left")
-        edges = materialize(moved.select("child", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("rose")).distinct(), "join-edges")
+        edges = materialize(moved.select("child", F.coalesce("up", "parent").alias("parent"), F.col("up").isNotNull().alias("rose")).distinct(), "join-edges", new)
         state = edges.agg(F.count("*").alias("n"), F.count_distinct("child").alias("children"), F.coalesce(F.max(F.col("rose").cast("int")), F.lit(0)).alias("rose")).first()
         edges = edges.select("child", "parent").distinct()
+        remove(spark, old)
         if not state["rose"] and state["n"] == state["children"]:
+            within += new
             return edges.select("child", F.col("parent").alias("root"))
+        old, new = new, []
 
 
 def _by(*keys: str):
@@ -377,43 +394,52 @@ def _blocks(vertices: DataFrame) -> DataFrame:
 
 
 def vertex_components(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """docs(doc_id long, text): the sketches, and (hi, lo, component, copies) of
-    the sets that more than one document has or that are linked with another."""
-    sketches = materialize(_sketches(docs.withColumn("doc_id", F.col("doc_id").cast("string")), _frequent(docs, words), words), "join-sketches")
-    classes = sketches.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("v"), F.count("*").alias("copies"))
-    classes = materialize(classes, "join-classes")
+    """docs(doc_id long, text): the sketches (doc_id, n, hi, lo), and (hi, lo,
+    component, copies) of the sets that more than one document has or that are
+    linked with another. Both are tables of the shared folder; what leads to
+    them is removed there.
+
+    Large blocks are few, at most a PART_MEMBERS-th of their members; what is
+    known of them is looked up, so that no task gets a whole block."""
+    spark, gone = docs.sparkSession, []
+    keep = lambda df, name: materialize(df, f"join-{name}", gone)
+    full = keep(_sketches(docs.withColumn("doc_id", F.col("doc_id").cast("string")), _frequent(docs, words), words), "full")
+    sketches = materialize(full.select("doc_id", "n", "hi", "lo"), "join-sketches")
+    classes = keep(sketches.filter("n > 0 and doc_id is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("v"), F.count("*").alias("copies")), "classes")
     heads = classes.select("hi", "lo", F.col("v").alias("doc_id")).hint("merge")
-    own = sketches.join(heads, ["hi", "lo", "doc_id"], "left_semi").withColumnRenamed("doc_id", "v")
-    own = materialize(own.dropDuplicates(["v", "hi", "lo"]).select("v", "n", "rare", "common", "bits"), "join-vertices")
-    blocks = materialize(_blocks(own), "join-blocks")
+    own = full.join(heads, ["hi", "lo", "doc_id"], "left_semi").withColumnRenamed("doc_id", "v")
+    own = keep(own.dropDuplicates(["v", "hi", "lo"]).select("v", "n", "rare", "common", "bits"), "vertices")
+    blocks = keep(_blocks(own), "blocks")
     sizes = own.groupBy("v").agg(F.max("n").alias("n"))
     members = blocks.join(sizes, "v")
-    totals = members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / PART_MEMBERS), F.ceil(F.sum("n") / PART_SHINGLES)).alias("parts")).filter("parts > 1")
-    large = materialize(members.join(totals, "pivot").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))), "join-large")
+    totals = keep(members.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / PART_MEMBERS), F.ceil(F.sum("n") / PART_SHINGLES)).alias("parts")).filter("parts > 1"), "totals")
+    large = keep(members.join(lookup(totals), "pivot").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts"))), "large")
     zero = F.lit(0).cast("long")
-    small = blocks.join(large.select("pivot").distinct(), "pivot", "left_anti").join(own.select("v", "n", "bits"), "v")
+    small = blocks.join(lookup(totals.select("pivot")), "pivot", "left_anti").join(own.select("v", "n", "bits"), "v")
     kept = _filtered(small.select("pivot", zero.alias("part"), zero.alias("other"), "v", "n", "bits"))
     units = kept.select("pivot", zero.alias("part"), zero.alias("other"), "v").distinct()
-    heads = large.select("pivot", "part").distinct().select("pivot", "part", zero.alias("other"), F.col("pivot").alias("v"))
+    heads = totals.select("pivot", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("part"), zero.alias("other"), F.col("pivot").alias("v"))
     units = units.unionByName(large.select("pivot", "part", zero.alias("other"), "v")).unionByName(heads).distinct()
     # Deterministic units: the filter isn't run again when a later task is.
-    units = materialize(units.withColumn("label", F.col("v")), "join-units")
-    found = components(_linked(units, docs, words))
-    if not large.isEmpty():
+    units = keep(units.withColumn("label", F.col("v")), "units")
+    found = components(_linked(units, docs, words), gone)
+    if not totals.isEmpty():
         labelled = large.join(found, F.col("v") == F.col("child"), "left").withColumn("label", F.coalesce("root", "v")).select("pivot", "part", "parts", "v", "n", "label")
-        heads = found.select(F.col("child").alias("pivot"), F.col("root").alias("head"))
-        labelled = materialize(labelled.join(heads, "pivot", "left").withColumn("head", F.coalesce("head", "pivot")), "join-labelled")
+        heads = totals.select("pivot").join(found, F.col("pivot") == F.col("child"), "left").select("pivot", F.coalesce("root", "pivot").alias("head"))
+        labelled = keep(labelled.join(lookup(heads), "pivot"), "labelled")
         loose = labelled.filter("label <> head")
-        groups = loose.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / PART_MEMBERS), F.ceil(F.sum("n") / PART_SHINGLES)).alias("others"))
+        groups = keep(loose.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / PART_MEMBERS), F.ceil(F.sum("n") / PART_SHINGLES)).alias("others")), "groups")
         if not groups.isEmpty():
             # Loose members in groups of their own; each group meets each part.
-            every = labelled.join(groups, "pivot").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-            each = loose.join(groups, "pivot").withColumn("other", F.pmod(F.xxhash64("v", F.lit(1)), F.col("others"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            every = labelled.join(lookup(groups), "pivot").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+            each = loose.join(lookup(groups), "pivot").withColumn("other", F.pmod(F.xxhash64("v", F.lit(1)), F.col("others"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             again = every.select("pivot", "part", F.col("other").cast("long").alias("other"), "v", "label").unionByName(each.select("pivot", F.col("part").cast("long").alias("part"), "other", "v", "label")).distinct()
-            more = _linked(materialize(again, "join-again"), docs, words)
-            found = components(found.select("child", F.col("root").alias("parent")).unionByName(more))
+            more = _linked(keep(again, "again"), docs, words)
+            found = components(found.select("child", F.col("root").alias("parent")).unionByName(more), gone)
     roots = classes.join(found, F.col("v") == F.col("child"), "left").select("hi", "lo", F.coalesce("root", "v").alias("component"), "v", "copies")
-    return sketches, materialize(roots.filter("copies > 1 or component <> v").drop("v"), "join-components")
+    result = materialize(roots.filter("copies > 1 or component <> v").drop("v"), "join-components")
+    remove(spark, gone)
+    return sketches, result
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -424,6 +450,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_i
     share an id are one vertex, linked with whatever one of them is. Sets that
     over a thousandth of all documents have are fewer than a thousand and are
     looked up by broadcast, the others by shuffle."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketches, found = vertex_components(docs, words)
     share = max(100, docs.count() // 1000)
@@ -437,9 +464,25 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_i
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component, that of the smallest id; rows with a null id stay. The same columns."""
-    heads = jaccard_components(docs, words, doc_id, text).filter("component_id = doc_id").select(F.col("doc_id").alias("_nj_id")).distinct()
-    return docs.join(heads, F.col(doc_id) == F.col("_nj_id"), "left_semi").unionByName(docs.filter(F.col(doc_id).isNull()))
+    """One document of each component, that of the smallest id; the same columns.
+
+    A row with a null id takes part under an id past all others, made of the
+    row's columns; of rows that repeat an id and a text one stays, and of
+    repeats that differ in other columns it isn't stated which. Rows that
+    share an id but not the text are one document of the join and stay or go
+    together."""
+    made = F.lit(1 << 61).cast("long") + hash60(*(F.col(c) for c in docs.columns))
+    keyed = docs.withColumns({"_nj_id": F.coalesce(F.col(doc_id).cast("long"), made), "_nj_same": F.xxhash64(text)})
+    found = jaccard_components(keyed.select("_nj_id", F.col(text).alias("_nj_text")), words, "_nj_id", "_nj_text")
+    heads = found.filter("component_id = doc_id").select(F.col("doc_id").alias("_nj_head")).distinct()
+    kept = keyed.join(heads, F.col("_nj_id") == F.col("_nj_head"), "left_semi")
+    # Only rows that do repeat are gathered.
+    twice = keyed.groupBy("_nj_id", "_nj_same").agg(F.count("*").alias("n")).filter("n > 1").select("_nj_id", "_nj_same")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    repeats = lookup(twice)
+    once = kept.join(repeats, ["_nj_id", "_nj_same"], "left_semi").dropDuplicates(["_nj_id", "_nj_same"])
+    return kept.join(repeats, ["_nj_id", "_nj_same"], "left_anti").unionByName(once, allowMissingColumns=True).select(*docs.columns)
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,9 +96,9 @@ def test_bounds_never_lose_a_pair():
 
 def test_components(spark):
     edges = [(i + 1, i) for i in range(40)] + [(100, 60), (100, 50), (99, 60), (99, 55)]
-    got = {r["child"]: r["root"] for r in nj.components(spark.createDataFrame(edges, "child long, parent long")).collect()}
+    got = {r["child"]: r["root"] for r in nj.components(spark.createDataFrame(edges, "child long, parent long"), []).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 50 for i in (55, 60, 99, 100)}}
-    assert nj.components(spark.createDataFrame([], "child long, parent long")).count() == 0
+    assert nj.components(spark.createDataFrame([], "child long, parent long"), []).count() == 0
 
 
 def test_edges(spark):
@@ -109,4 +109,34 @@ def test_edges(spark):
     assert got == [(0, 2, None), (4, 0, 4), (5, 0, 5), (6, 1, 6), (6, 2, 6), (7, 2, 6), (8, 39_996, 8), (9, 39_997, 8), (10, 1, 6), (10, 1, 6)]
     assert nj.jaccard_components(docs.limit(0)).count() == 0
     kept = sorted((r["doc_id"] or 0) for r in nj.keep_one(docs).collect())
-    assert kept == [0, 4, 5, 6, 6, 8] and nj.keep_one(docs).columns == docs.columns
+    assert kept == [4, 5, 6, 6, 8] and nj.keep_one(docs).columns == docs.columns
+
+
+def test_one_of_each_group_stays(spark):
+    """Repeated rows, rows with null ids, clashing names and an empty table."""
+    rows = [(None, "one two three four five six", "a"), (None, "one two three four five six", "a"), (None, "One two three four  five six", "b"), (None, None, "c"), (3, "seven eight nine ten eleven twelve", "d"), (3, "seven eight nine ten eleven twelve", "d"), (3, "seven eight nine ten eleven twelve", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    kept = nj.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, (r["text"] or "").lower().split()[:1]) for r in kept.collect())
+    assert got == [(0, []), (0, ["one"]), (3, ["seven"])] and nj.keep_one(docs.limit(0)).count() == 0
+
+
+def test_thinly_spread_shingles_are_found(spark, monkeypatch):
+    """A passage that no task sees three times, in most documents."""
+    monkeypatch.setattr(nj, "COUNTED", 200)
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, " ".join(f"d{i}x{j}" for j in range(150)) + " " + passage) for i in range(400)], "doc_id long, text string").repartition(4)
+    often, want = nj._frequent(docs, 5), nj.Shingler()(passage)
+    assert np.isin(want, often).mean() > 0.9 and often.size < 2 * want.size
+
+
+def test_tables_are_removed(spark):
+    import os
+
+    from plumbline.llm.common import shared_dir
+
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    nj.jaccard_components(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g"), (3, "x")], "doc_id long, text string")).collect()
+    left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before
+    assert sorted(x.rsplit("-", 1)[0] for x in left) == ["join-components", "join-sketches"]
