@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACE_CHARS, SPACE_PATTERN, materialize, table
+from plumbline.llm.common import SPACE_CHARS, SPACE_PATTERN, lookup, materialize, table
 
 SHINGLE_WORDS = 5
 SKETCH_SIZE = 64
-#: Rows of a bucket of neighbouring ids, and at most so many buckets.
-BUCKET_ROWS, CELLS, PARTS = 1_000, 1_024, 64
+#: Rows of a bucket of neighbouring ids, until there are BUCKETS of them; beyond, buckets grow and sort on disk.
+BUCKET_ROWS, CELLS, BUCKETS = 1_000, 1_024, 500_000
 
 
 def _with_shingles(df: DataFrame, text: str, out: str, words: int) -> DataFrame:
@@ -85,13 +85,14 @@ def as_text(sketch: Column) -> Column:
 def _bucket(docs: DataFrame) -> tuple[Column, Column]:
     """The cell of doc_id, and from _fp_cell a bucket number that falls with doc_id.
 
-    Quantiles of the ids, at most CELLS, each divided evenly by id into at
-    most PARTS; how even they are changes no result. Null ids come last."""
+    Quantiles of the ids, at most CELLS, each divided evenly by id; how even
+    they are changes no result. Null ids come last."""
     n = docs.count()
-    cells = max(1, min(CELLS, n // (4 * BUCKET_ROWS)))
+    rows = max(BUCKET_ROWS, -(-n // BUCKETS))
+    cells = max(1, min(CELLS, n // (4 * rows)))
     row = docs.agg(F.percentile_approx("doc_id", [i / cells for i in range(cells + 1)], 20 * CELLS).alias("q")).first()
     cuts = sorted(set(row["q"] or [0]))
-    parts = max(1, min(PARTS, -(-n // (len(cuts) * BUCKET_ROWS))))
+    parts = max(1, -(-n // (len(cuts) * rows)))
     steps = [1 << i for i in range(len(cuts).bit_length() - 1, -1, -1)]
     q = F.array(*(F.lit(x).cast("long") for x in cuts))
     cell = F.aggregate(F.array(*(F.lit(x) for x in steps)), F.lit(0), lambda at, step: F.when(F.get(q, at + step) <= F.col("doc_id"), at + step).otherwise(at))
@@ -105,16 +106,17 @@ def with_next(docs: DataFrame, k: int = SKETCH_SIZE) -> DataFrame:
     """docs(doc_id, text) with sketch, next_text and next_sketch: those of the
     next document by descending doc_id; after the last comes the first.
 
-    Null ids come last, rows of one id by text. Rows are dealt to buckets of
+    Null ids come last, rows of one id by text; columns of the three names are
+    replaced, others pass. Rows are dealt to buckets of
     neighbouring ids; the first row of a bucket is copied to the end of the
     bucket before it, so one exchange suffices and none gathers all rows."""
     cell, bucket = _bucket(docs.select("doc_id"))
     placed = docs.withColumn("_fp_cell", cell).withColumn("_fp_at", bucket).drop("_fp_cell")
-    # One row a bucket, at most CELLS * PARTS + 1 in all.
+    # One row a bucket, about BUCKETS at most.
     firsts = materialize(placed.groupBy("_fp_at").agg(F.max("doc_id").alias("_fp_first")), "fp-firsts")
     down = Window.orderBy(F.col("_fp_at").desc())
     before = F.coalesce(F.lag("_fp_at").over(down), F.min("_fp_at").over(Window.partitionBy()))
-    firsts = F.broadcast(firsts.withColumn("_fp_to", before).withColumnRenamed("_fp_at", "_fp_from"))
+    firsts = lookup(firsts.withColumn("_fp_to", before).withColumnRenamed("_fp_at", "_fp_from"), 2 * BUCKETS)
     heads = placed.join(firsts, (F.col("_fp_at") == F.col("_fp_from")) & F.col("doc_id").eqNullSafe(F.col("_fp_first")))
     heads = heads.withColumn("_fp_at", F.col("_fp_to")).drop("_fp_from", "_fp_first", "_fp_to").withColumn("_fp_copy", F.lit(1))
     w = Window.partitionBy("_fp_at").orderBy("_fp_copy", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
@@ -124,6 +126,10 @@ def with_next(docs: DataFrame, k: int = SKETCH_SIZE) -> DataFrame:
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's sketch beside those of its edited text and of the next
+    document, with what they estimate: resemblance, containment, and the
+    numbers of distinct shingles of the text and of both documents together.
+    A null text counts as empty; other columns of the table aren't used."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     both = with_next(docs)
     both = both.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("_half", F.floor(F.col("n_chars") / 2).cast("int"))
@@ -139,4 +145,6 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
         F.rint(distinct_count(F.col("sketch"))).cast("long").alias("n_shingles_estimate"),
+        containment(F.col("sketch"), F.col("edited_sketch")).alias("held_by_edited"),
+        F.rint(distinct_count(merge_sketches(F.col("sketch"), F.col("next_sketch")))).cast("long").alias("n_shingles_with_next"),
     )

@@ -1,6 +1,8 @@
 import hashlib
+import struct
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import fingerprints as fp
@@ -11,8 +13,23 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
+def fingerprint(text, k=64):
+    """The k least shingle hashes by a plain loop: XXH64 with seed 42, chained over the five words' hashes."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def chain(hashes):
+        out = 42
+        for h in hashes:
+            out = xxhash.xxh64_intdigest(struct.pack("<Q", h), out)
+        return out
+
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in (text or "").lower().split()]
+    found = {chain(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {chain(words)} if words else set()
+    return ",".join(f"{h & (1 << 64) - 1:x}" for h in sorted(map(signed, found))[:k])
+
+
 def test_query(spark, tmp_path):
-    texts = [None, "", " \n", "one two", "a b c d e f g h", "é" * 11, "x y z " * 400, "a b c d e f g h"] + [f"w{i} v{i % 3} common words here and there {i}" for i in range(60)]
+    texts = [None, "", " \n", "one two", "a b c d e f g h", "é" * 11, "x y z " * 400, "a b c d e f g h", " ".join(f"long{i}" for i in range(60_000))] + [f"w{i} v{i % 3} common words here and there {i}" for i in range(60)]
     rows = [(i * i + 3, t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
     old = fp.BUCKET_ROWS
@@ -29,6 +46,12 @@ def test_query(spark, tmp_path):
         edited = t[: len(t) - half] + u[:half]
         r = got[i]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == fingerprint(t) and r["edited_fingerprint"] == fingerprint(edited)
+        union = set(fingerprint(t).split(",")) | set(fingerprint(u).split(",")) - {""}
+        if len(shingles(t) | shingles(u)) < 64 and t and u:
+            assert r["n_shingles_with_next"] == len(union) and r["n_shingles_estimate"] == len(shingles(t))
+            a, b = shingles(t), shingles(edited)
+            assert len(a | b) >= 64 or r["held_by_edited"] == pytest.approx(len(a & b) / len(a) if a else 1.0)
         for name, other in (("near_edited", edited), ("near_next", u)):
             a, b = shingles(t), shingles(other)
             want = len(a & b) / len(a | b) if a | b else 1.0
@@ -58,3 +81,9 @@ def test_null_ids_and_repeats(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
     assert sorted(((r["doc_id"] or 0), r["text"], r["next_text"]) for r in fp.with_next(docs).collect()) == sorted([(7, "", "c"), (7, "c", "c"), (7, "c", "d"), (1, "d", "a"), (0, "a", "b b b b b b"), (0, "b b b b b b", "")])
     assert fp.with_next(docs.limit(0)).count() == 0
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", "z"), (2, "c d", "x", "y", "z")], "doc_id long, text string, sketch string, next_text string, other string")
+    got = {r["doc_id"]: r for r in fp.with_next(docs).collect()}
+    assert got[2]["next_text"] == "a b" and got[1]["next_text"] == "c d" and got[1]["other"] == "z" and len(got[1]["sketch"]) == 1
