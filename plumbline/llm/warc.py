@@ -22,14 +22,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import shared_dir, table
+from plumbline.llm.common import shared_dir, small_batches, table
 
 SKIPPABLE = 0x184D2A5D
 DICTIONARY_BYTES = 64 << 10
 #: Uncompressed bytes of records after which an archive ends.
 ARCHIVE_BYTES = 24 << 20
-#: Bytes of one archive's records, evenly spaced, from which its dictionary is built.
-TRAINING_BYTES = 4 << 20
+#: Bytes of one archive's records, evenly spaced, from which its dictionary is built, and of a piece of them.
+TRAINING_BYTES, SAMPLE_BYTES = 4 << 20, 16 << 10
 DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -80,12 +80,18 @@ def parse_record(data: bytes) -> Record:
 
 
 def train(records: list[bytes]) -> zstandard.ZstdCompressionDict | None:
-    """A dictionary from evenly spaced records of one archive, None if they are too few or too short."""
+    """A dictionary from pieces that are spread evenly over all records of one
+    archive; None if all of them together are under 8 KB, or the trainer finds
+    nothing that repeats."""
+    pieces = [(i, at) for i, x in enumerate(records) for at in range(0, len(x), SAMPLE_BYTES)]
     step = max(1, -(-sum(map(len, records)) // TRAINING_BYTES))
-    samples = [x[: 128 << 10] for x in records[::step]]
+    samples = [records[i][at : at + SAMPLE_BYTES] for i, at in pieces[::step]]
+    # The trainer wants several samples: few are cut finer.
+    if len(samples) < 16:
+        samples = [x[at : at + 512] for x in samples for at in range(0, len(x), 512)]
+    size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
     try:
-        size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
-        return zstandard.train_dictionary(size, samples, k=256, d=8, steps=1, threads=0) if len(samples) >= 8 and size >= 1024 else None
+        return zstandard.train_dictionary(size, samples, k=256, d=8, steps=1, threads=0) if size >= 1024 else None
     except zstandard.ZstdError:
         return None
 
@@ -136,18 +142,6 @@ def _opened(uri: str, mode: str) -> IO[bytes]:
     return system.open_output_stream(path, compression=None)
 
 
-def _renamed(old: str, new: str) -> None:
-    from pyarrow import fs
-
-    if old.startswith("file:") or "://" not in old:
-        system = fs.LocalFileSystem()
-        old, new = (unquote(urlsplit(x).path) if x.startswith("file:") else x for x in (old, new))
-    else:
-        system, old = fs.FileSystem.from_uri(old)
-        new = fs.FileSystem.from_uri(new)[1]
-    system.move(old, new)
-
-
 def with_origin(pages: DataFrame, minimum: int = 0) -> DataFrame:
     """pages(page_id, url, html) with digest and origin: the smallest page_id
     among equal payloads of at least minimum bytes, null where there is only
@@ -173,9 +167,9 @@ def write_archives(pages: DataFrame, folder: str, minimum: int = 0) -> DataFrame
     """Write a record for every row of pages(page_id, url, html); a DataFrame
     (path, records, bytes) of the archives in folder, which all executors share.
 
-    A file is written under a name of its own and then renamed to one that
-    depends on the partition alone: a task that runs again replaces its files.
-    A null html is an empty payload. Of equal payloads, rows with the smallest
+    Every attempt of a task writes files of names of its own, and only those
+    that its result names count: what a lost or repeated attempt has written,
+    in whatever order it got its rows, is in no list. A null html is an empty payload. Of equal payloads, rows with the smallest
     page_id are responses; null ids count as the largest."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -185,12 +179,11 @@ def write_archives(pages: DataFrame, folder: str, minimum: int = 0) -> DataFrame
 
         def roll() -> pd.DataFrame:
             nonlocal held, size, at
-            path, stored = f"{folder}/part-{part:06d}-{at:04d}.warc.zst", 0
-            with _opened(own := f"{path}.{uuid.uuid4().hex}", "w") as file:
+            path, stored = f"{folder}/part-{part:06d}-{at:04d}-{uuid.uuid4().hex}.warc.zst", 0
+            with _opened(path, "w") as file:
                 for frame in archive_frames(held):
                     file.write(frame)
                     stored += len(frame)
-            _renamed(own, path)
             out = pd.DataFrame({"path": [path], "records": [len(held)], "bytes": [stored]})
             held, size, at = [], 0, at + 1
             return out
@@ -242,8 +235,11 @@ def read_records(archives: DataFrame) -> DataFrame:
 
 
 def archive(pages: DataFrame, folder: str | None = None, minimum: int = 0) -> DataFrame:
-    """Write pages and list the archives; the list is a file of the folder."""
+    """Write pages(page_id, url, html), whose other columns aren't used, and list
+    the archives. The list, which Spark commits as a whole, says which files of
+    the folder are the archives."""
     spark = pages.sparkSession
+    small_batches(spark)
     folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     listing = f"{folder}-list"
     write_archives(pages, folder, minimum).write.parquet(listing)
