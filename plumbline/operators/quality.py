@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline import config as C
-from plumbline.functions.text import flat, probes, tokens
+from plumbline.functions.text import collapse, flat, probes, tokens
+from plumbline.operators.joins import holding
 
 
 def orphans(chunks: DataFrame, documents: DataFrame) -> DataFrame:
@@ -81,11 +82,20 @@ def neighbours(rows: DataFrame, chunks: DataFrame, window: int) -> DataFrame:
     return near.join(other, (F.col("doc_key") == F.col("k")) & (F.col("near") == F.col("i"))).drop("k", "i", "near")
 
 
+def _anchored(labels: DataFrame, chunks: DataFrame) -> DataFrame:
+    """labels with at, the index of every chunk of the document that holds the label's text whatever its case and white space."""
+    bodies = chunks.select("doc_key", F.col("chunk_index").alias("at"), flat(F.col("content")).alias("content"))
+    wanted = labels.withColumn("needle", flat(F.col("contains")))
+    pairs = holding(bodies, wanted, F.contains("content", "needle"), "at", on=("doc_key",)).drop("content")
+    return wanted.join(pairs, ["doc_key", "needle"]).drop("needle")
+
+
 def anchor_counts(labels: DataFrame, chunks: DataFrame) -> DataFrame:
-    """In how many chunks of its document a label's text stands; joined by document first."""
-    pairs = labels.join(chunks.select("doc_key", "chunk_index", "content"), "doc_key").select(labels["*"], F.col("content"))
-    hit = F.contains(flat(F.col("content")), flat(F.col("contains")))
-    return pairs.groupBy("query_id", "doc_key", "contains").agg(F.count_if(hit).alias("n"))
+    """In how many chunks of its document a label's text stands; labels of documents without chunks are left out."""
+    hits = _anchored(labels, chunks).groupBy("query_id", "doc_key", "contains").agg(F.count("*").alias("n"))
+    known = labels.join(chunks.select("doc_key").distinct(), "doc_key", "left_semi").select("query_id", "doc_key", "contains").distinct()
+    same = (known["query_id"] == hits["query_id"]) & (known["doc_key"] == hits["doc_key"]) & known["contains"].eqNullSafe(hits["contains"])
+    return known.join(hits, same, "left").select(known["query_id"], known["doc_key"], known["contains"], F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def anchor_buckets(counts: DataFrame) -> DataFrame:
@@ -95,9 +105,8 @@ def anchor_buckets(counts: DataFrame) -> DataFrame:
 
 def nearest_anchor(labels: DataFrame, chunks: DataFrame) -> DataFrame:
     """The chunk of the document with the label's text that is nearest to the labelled place, of equally near ones the first."""
-    pairs = labels.join(chunks.select("doc_key", F.col("chunk_index").alias("at"), "content"), "doc_key").filter(F.contains(flat(F.col("content")), flat(F.col("contains"))))
     near = F.min(F.struct(F.abs(F.col("at") - F.col("chunk_index")).alias("far"), F.col("at").alias("at")))
-    return pairs.groupBy("query_id", "doc_key", "chunk_index").agg(near.alias("n"), F.count("*").alias("places")).select("query_id", "doc_key", "chunk_index", F.col("n.at").alias("nearest"), (F.col("n.at") - F.col("chunk_index")).alias("offset"), "places")
+    return _anchored(labels, chunks).groupBy("query_id", "doc_key", "chunk_index").agg(near.alias("n"), F.count("*").alias("places")).select("query_id", "doc_key", "chunk_index", F.col("n.at").alias("nearest"), (F.col("n.at") - F.col("chunk_index")).alias("offset"), "places")
 
 
 def relocate_by_content(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -114,12 +123,17 @@ def relocate_by_probes(old: DataFrame, new: DataFrame) -> DataFrame:
     then the lower wins; a share under the confident one, or another close
     below it, moves nothing."""
     asked = old.select("doc_key", F.col("chunk_index").alias("from"), probes(F.col("content")).alias("probes")).filter(F.size("probes") > 0)
-    pairs = asked.join(new.select("doc_key", F.col("chunk_index").alias("at"), flat(F.col("content")).alias("body")), "doc_key")
-    pairs = pairs.select("doc_key", "from", "at", (F.size(F.filter("probes", lambda p: F.contains(F.col("body"), p))) / F.size("probes")).alias("share"))
+    asked = asked.join(new.select("doc_key").distinct(), "doc_key", "left_semi")
+    each = asked.select("doc_key", "from", F.size("probes").alias("asked"), F.explode("probes").alias("needle"))
+    bodies = new.select("doc_key", F.col("chunk_index").alias("at"), flat(F.col("content")).alias("content"))
+    held = holding(bodies, each, F.contains("content", "needle"), "at", on=("doc_key",)).drop("content")
+    hits = each.join(held, ["doc_key", "needle"])
+    pairs = hits.groupBy("doc_key", "from", "at").agg((F.count("*") / F.first("asked")).alias("share"))
     group = Window.partitionBy("doc_key", "from")
     key = F.struct((-F.col("share")).alias("s"), (F.col("at") > F.col("from")).alias("up"), F.abs(F.col("from") - F.col("at")).alias("far"), F.col("at").alias("at"))
     ranked = pairs.withColumn("best", F.max("share").over(group))
-    out = ranked.groupBy("doc_key", "from").agg(F.first("best").alias("best"), F.min(key).alias("k"), F.coalesce(F.max(F.when(F.col("share") < F.col("best") - 1e-9, F.col("share"))), F.lit(0.0)).alias("runner_up"))
+    found = ranked.groupBy("doc_key", "from").agg(F.first("best").alias("best"), F.min(key).alias("k"), F.max(F.when(F.col("share") < F.col("best") - 1e-9, F.col("share"))).alias("runner_up"))
+    out = asked.select("doc_key", "from").join(found, ["doc_key", "from"], "left").na.fill(0.0, ["best", "runner_up"])
     outcome = F.when(F.col("best") < C.CONFIDENT, "lost").when((F.col("best") < 1.0) & (F.col("best") - F.col("runner_up") < C.AMBIGUOUS_MARGIN), "ambiguous").otherwise("found")
     return out.select("doc_key", "from", F.when(outcome == "found", F.col("k.at")).alias("to"), "best", "runner_up", outcome.alias("outcome"))
 
@@ -185,48 +199,118 @@ def navigation_table(scores: DataFrame, score: Column, thresholds: tuple[float,
 def extend_anchors(labels: DataFrame, chunks: DataFrame, max_words: int = 20, max_places: int = 6) -> DataFrame:
     """(query_id, doc_key, chunk_index, anchor, n): a label's text grown word by
     word, to the side that fewer chunks of the document hold, until one chunk
-    is left. Every step takes a whole word, also the last of a chunk. Runs once
-    per document, over that document's chunks."""
-
-    def grow(body: str, texts: list[str], start: int, end: int) -> tuple[int, str]:
-        count = lambda s: sum(" ".join(s.lower().split()) in t for t in texts)
-        edges = [0, *(i + 1 for i, c in enumerate(body) if c == " ")]
-        start = max(e for e in edges if e <= start)
-        n = count(body[start:end])
-        for _ in range(max_words):
-            if n <= 1:
-                break
-            options = []
-            if lower := [e for e in edges if e < start]:
-                options.append((count(body[lower[-1] : end]), body[lower[-1] : end], lower[-1], end))
-            if end < len(body):
-                stop = body.find(" ", end + 1)
-                stop = stop if stop >= 0 else len(body)
-                options.append((count(body[start:stop]), body[start:stop], start, stop))
-            if not options:
-                break
-            n, _, start, end = min(options)
-        return n, body[start:end].strip()
-
-    def run(wanted: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
-        bodies = {i: " ".join(t.split()) for i, t in zip(have["chunk_index"], have["content"], strict=True)}
-        texts, out = [b.lower() for b in bodies.values()], []
-        for row in wanted.itertuples():
-            body, needle = bodies.get(row.chunk_index, ""), (row.contains or "").lower()
-            places, at = [], body.lower().find(needle) if needle else -1
-            while at >= 0 and len(places) < max_places:
-                places.append(at)
-                at = body.lower().find(needle, at + 1)
-            best, found = 0, row.contains
-            for place in places:
-                n, text = grow(body, texts, place, place + len(needle))
-                if n and (not best or n < best):
-                    best, found = n, text
-                if best == 1:
+    is left. Every step takes a whole word, also the last of a chunk; of a
+    text's first max_places places in its chunk the one that ends with the
+    fewest chunks counts.
+
+    Each hit of a text is reduced to how many words before and after it agree
+    with those around a place in the labelled chunk. A text grown by i words
+    before and j after is in the chunks with a hit that agrees in i and j at
+    least, so all that growing needs is a table of (i, j) a place, which Spark
+    counts; no task gets the texts of a document."""
+    keys = ["query_id", "doc_key", "chunk_index", "contains"]
+    asked = labels.select(F.struct(*keys).alias("label"), "doc_key", "chunk_index", flat(F.col("contains")).alias("needle")).distinct()
+    own = chunks.select("doc_key", "chunk_index", collapse(F.col("content")).alias("body"))
+    rows = asked.join(own, ["doc_key", "chunk_index"], "left").withColumn("places", _around(F.col("body"), F.col("needle"), max_words, max_places)).drop("body")
+    bodies = chunks.select("doc_key", F.col("chunk_index").alias("at"), flat(F.col("content")).alias("content"))
+    hits = holding(bodies, asked.filter("needle <> ''").select("doc_key", "needle"), F.contains("content", "needle"), "at", on=("doc_key",))
+    met = rows.filter(F.size("places") > 0).join(hits, ["doc_key", "needle"])
+    cells = met.select("label", F.explode(_agreements(F.col("places"), F.col("needle"), F.col("content"))).alias("c")).select("label", "c.*")
+    counts = cells.groupBy("label", "place", "before", "after").agg(F.count("*").alias("n"))
+    # At most (max_words + 1) squared cells a place.
+    table = counts.groupBy("label", "place").agg(F.collect_list(F.struct("before", "after", "n")).alias("table"))
+    each = rows.select("label", F.posexplode("places").alias("place", "around"))
+    grown = each.join(table, ["label", "place"]).select("label", "place", _grown("around", "table", max_words).alias("g"))
+    best = grown.groupBy("label").agg(F.min(F.struct("g.n", "place", "g.anchor")).alias("b"))
+    out = asked.select("label").join(best, "label", "left")
+    return out.select("label.query_id", "label.doc_key", "label.chunk_index", F.coalesce("b.anchor", "label.contains").alias("anchor"), F.coalesce("b.n", F.lit(0)).cast("long").alias("n"))
+
+
+def _around(body: Column, needle: Column, max_words: int, max_places: int) -> Column:
+    """The first places of needle in body: what stands there, from the start of
+    its first word, and what each further word before and after adds."""
+
+    def words_before(text: str, stop: int) -> list[str]:
+        out = []
+        while stop > 0 and len(out) < max_words:
+            start = text.rfind(" ", 0, stop - 1) + 1
+            out.append(text[start:stop])
+            stop = start
+        return out
+
+    def words_after(text: str, start: int) -> list[str]:
+        out = []
+        while start < len(text) and len(out) < max_words:
+            stop = text.find(" ", start + 1)
+            stop = len(text) if stop < 0 else stop
+            out.append(text[start:stop])
+            start = stop
+        return out
+
+    @F.pandas_udf("array<struct<core: string, offset: int, before: array<string>, after: array<string>>>")
+    def of(bodies: pd.Series, needles: pd.Series) -> pd.Series:
+        def one(text: str | None, wanted: str | None) -> list[dict]:
+            out, low = [], (text or "").lower()
+            at = low.find(wanted) if wanted else -1
+            while at >= 0 and len(out) < max_places:
+                start, end = text.rfind(" ", 0, at) + 1, at + len(wanted)
+                out.append({"core": text[start:end], "offset": at - start, "before": words_before(text, start), "after": words_after(text, end)})
+                at = low.find(wanted, at + 1)
+            return out
+
+        return pd.Series([one(*x) for x in zip(bodies, needles, strict=True)], dtype="object")
+
+    return of(body, needle)
+
+
+def _agreements(places: Column, needle: Column, content: Column) -> Column:
+    """Of each place, the numbers of words before and after with which one of the text's hits agrees."""
+
+    @F.pandas_udf("array<struct<place: int, before: int, after: int>>")
+    def of(all_places: pd.Series, needles: pd.Series, texts: pd.Series) -> pd.Series:
+        def agreeing(words: list[str], holds) -> int:
+            n, joint = 0, ""
+            while n < len(words) and (joint := holds(joint, words[n].lower())) is not None:
+                n += 1
+            return n
+
+        def one(around, wanted: str, text: str) -> list[dict]:
+            cells = set()
+            for place, x in enumerate(around):
+                lead = x["core"][: x["offset"]].lower()
+                at = text.find(wanted)
+                while at >= 0:
+                    if text.startswith(lead, at - len(lead)) and at >= len(lead):
+                        left, right = at - len(lead), at + len(wanted)
+                        earlier = lambda joint, w: w + joint if text.endswith(w, 0, left - len(joint)) else None  # noqa: B023, E731
+                        later = lambda joint, w: joint + w if text.startswith(w, right + len(joint)) else None  # noqa: B023, E731
+                        i, j = agreeing(list(x["before"]), earlier), agreeing(list(x["after"]), later)
+                        cells.update((place, a, b) for a in range(i + 1) for b in range(j + 1))
+                    at = text.find(wanted, at + 1)
+            return [{"place": p, "before": a, "after": b} for p, a, b in sorted(cells)]
+
+        return pd.Series([one(*x) for x in zip(all_places, needles, texts, strict=True)], dtype="object")
+
+    return of(places, needle, content)
+
+
+def _grown(around: str, table: str, max_words: int) -> Column:
+    """The text that growing ends with, and the chunks that hold it; of equal counts the text that sorts first is taken."""
+
+    @F.pandas_udf("n long, anchor string")
+    def of(places: pd.Series, tables: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, cells in zip(places.to_dict("records"), tables, strict=True):
+            count = {(c["before"], c["after"]): c["n"] for c in cells}
+            before, after = list(x["before"]), list(x["after"])
+            text = lambda i, j: "".join(before[:i][::-1]) + x["core"] + "".join(after[:j])  # noqa: B023, E731
+            here = (0, 0)
+            for _ in range(max_words):
+                wider = [(count.get(to, 0), text(*to), to) for to in ((here[0] + 1, here[1]), (here[0], here[1] + 1)) if to[0] <= len(before) and to[1] <= len(after)]
+                if count.get(here, 0) <= 1 or not wider:
                     break
-            out.append((row.query_id, row.doc_key, row.chunk_index, found, best))
-        return pd.DataFrame(out, columns=["query_id", "doc_key", "chunk_index", "anchor", "n"])
+                here = min(wider)[2]
+            out.append((count.get(here, 0), text(*here).strip()))
+        return pd.DataFrame(out, columns=["n", "anchor"])
 
-    left = labels.select("query_id", "doc_key", "chunk_index", "contains").groupBy("doc_key")
-    needed = chunks.join(labels.select("doc_key").distinct(), "doc_key", "left_semi").select("doc_key", "chunk_index", "content")
-    return left.cogroup(needed.groupBy("doc_key")).applyInPandas(run, "query_id long, doc_key string, chunk_index int, anchor string, n long")
+    return of(F.col(around), F.col(table))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from plumbline import config as C
 from plumbline.functions.text import tokens
+from plumbline.operators.joins import holding, is_small, lookup, lookup_if
 
 KEYS = ["query_id", "ticker", "pos"]
 #: About as many (question, company) rows are broadcast at once; more are searched in several blocks.
@@ -99,28 +100,29 @@ def matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     number of questions that share them; nothing is shuffled after that.
     lex_score is the sum of ln(1 + tf) to nine decimals: frequency counts, rarity doesn't."""
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("token"))
+    few = is_small(terms)
     rows = chunks.select("chunk_id", "doc_key", "content").repartition("chunk_id")
-    each = rows.select("chunk_id", "doc_key", F.explode(tokens(F.col("content"))).alias("token")).join(F.broadcast(terms.select("token").distinct()), "token", "left_semi")
-    tf = each.groupBy("chunk_id", "doc_key", "token").agg(F.count("*").alias("tf")).join(F.broadcast(terms), "token")
+    each = rows.select("chunk_id", "doc_key", F.explode(tokens(F.col("content"))).alias("token")).join(lookup_if(few, terms.select("token").distinct()), "token", "left_semi")
+    tf = each.groupBy("chunk_id", "doc_key", "token").agg(F.count("*").alias("tf")).join(lookup_if(few, terms), "token")
     return tf.groupBy("query_id", "chunk_id", "doc_key").agg(F.count("*").alias("n_terms"), F.round(F.sum(F.log1p("tf")), 9).alias("lex_score"))
 
 
-def keyword_modes(found: DataFrame, queries: DataFrame, least: int = C.KEYWORD_MIN_AND_HITS) -> DataFrame:
+def keyword_modes(found: DataFrame, queries: DataFrame, least: int = C.KEYWORD_MIN_AND_HITS, few: bool | None = None) -> DataFrame:
     """(query_id, wanted, and_hits, or_hits, mode): all terms if enough chunks
     have them, else any. The count follows sections but not companies."""
     wanted = queries.select("query_id", F.size(F.array_distinct("terms")).alias("wanted"))
-    counts = found.join(F.broadcast(wanted), "query_id").groupBy("query_id").agg(F.count_if(F.col("n_terms") == F.col("wanted")).alias("and_hits"), F.count("*").alias("or_hits"))
+    counts = found.join(lookup_if(is_small(wanted) if few is None else few, wanted), "query_id").groupBy("query_id").agg(F.count_if(F.col("n_terms") == F.col("wanted")).alias("and_hits"), F.count("*").alias("or_hits"))
     out = wanted.join(counts, "query_id", "left").na.fill(0, ["and_hits", "or_hits"])
     return out.withColumn("mode", F.when(F.col("and_hits") >= least, "AND").otherwise("OR"))
 
 
-def keyword(chunks: DataFrame, queries: DataFrame, k: int, targets: DataFrame | None = None, mode: str | None = None) -> DataFrame:
-    """Best chunks by terms, in (query, company) groups; mode forces AND or OR."""
-    found = matches(chunks, queries)
-    modes = keyword_modes(found, queries).withColumn("mode", F.lit(mode) if mode else F.col("mode"))
-    hits = found.join(F.broadcast(modes.select("query_id", "wanted", "mode")), "query_id").filter("mode = 'OR' or n_terms = wanted")
+def keyword(chunks: DataFrame, queries: DataFrame, k: int, targets: DataFrame | None = None, mode: str | None = None, found: DataFrame | None = None) -> DataFrame:
+    """Best chunks by terms, in (query, company) groups; mode forces AND or OR. found: matches() of the same, if at hand."""
+    found, few = matches(chunks, queries) if found is None else found, is_small(queries.select("query_id"))
+    modes = keyword_modes(found, queries, few=few).withColumn("mode", F.lit(mode) if mode else F.col("mode"))
+    hits = found.join(lookup_if(few, modes.select("query_id", "wanted", "mode")), "query_id").filter("mode = 'OR' or n_terms = wanted")
     groups = with_targets(queries.select("query_id"), targets)
-    hits = hits.join(F.broadcast(groups), "query_id").filter("ticker is null or ticker = doc_key")
+    hits = hits.join(lookup(groups), "query_id").filter("ticker is null or ticker = doc_key")
     return ranked(hits.select(*KEYS, "chunk_id", F.col("lex_score").alias("score")), KEYS, k)
 
 
@@ -144,7 +146,7 @@ def interleave(hits: DataFrame, targets: DataFrame, k: int = C.RETRIEVAL_TOP_K)
     first places in order of mention, then all second; a chunk counts once. The
     rest of the division is left out, so three companies fill 15 of 16 places."""
     quotas = targets.groupBy("query_id").agg(F.greatest(F.floor(F.lit(k) / F.count_distinct("pos")), F.lit(1)).alias("quota"))
-    kept = hits.join(F.broadcast(quotas), "query_id", "left").filter(F.col("rank") <= F.coalesce("quota", F.lit(k)))
+    kept = hits.join(lookup(quotas), "query_id", "left").filter(F.col("rank") <= F.coalesce("quota", F.lit(k)))
     first = Window.partitionBy("query_id", "chunk_id").orderBy("rank", "pos")
     once = kept.withColumn("seen", F.row_number().over(first)).filter("seen = 1").drop("seen", "quota")
     order = Window.partitionBy("query_id").orderBy("bucket_rank", "pos")
@@ -172,25 +174,37 @@ def decomposed(chunks: DataFrame, queries: DataFrame, targets: DataFrame, rewrit
     return interleave(hits.withColumn("query_id", F.expr(f"(query_id - pos) div {width}")), targets, k)
 
 
+def pools(chunks: DataFrame, queries: DataFrame, targets: DataFrame, pool: int = C.RETRIEVAL_POOL) -> dict[str, DataFrame]:
+    """The ranked pools that all strategies draw on, without and with companies. Each is one plan, so that Spark makes its shuffle once however many strategies use it."""
+    found = matches(chunks, queries)
+    return {
+        "semantic": semantic(chunks, queries, pool), "keyword": keyword(chunks, queries, pool, found=found), "keyword or": keyword(chunks, queries, pool, mode="OR", found=found),
+        "semantic by company": semantic(chunks, queries, pool, targets), "keyword by company": keyword(chunks, queries, pool, targets, found=found),
+    }
+
+
+def _first(hits: DataFrame, k: int) -> DataFrame:
+    return hits.filter(F.col("rank") <= k)
+
+
+#: Strategies as functions of pools(), targets and k.
 STRATEGIES = {
-    "semantic": lambda c, q, t, k: semantic(c, q, k),
-    "keyword": lambda c, q, t, k: keyword(c, q, k),
-    "hybrid": lambda c, q, t, k: hybrid(c, q, k),
-    "hybrid+company": lambda c, q, t, k: search(c, q, t, k),
-    "keyword+company": lambda c, q, t, k: interleave(keyword(c, q, k, t), t, k),
-    "SABOTAGE starved": lambda c, q, t, k: hybrid(c, q, 1, pool=1),
-    "SABOTAGE no-company": lambda c, q, t, k: hybrid(c, q, k),
-    "SABOTAGE or-keyword": lambda c, q, t, k: hybrid(c, q, k, mode="OR"),
+    "semantic": lambda p, t, k: _first(p["semantic"], k),
+    "keyword": lambda p, t, k: _first(p["keyword"], k),
+    "hybrid": lambda p, t, k: fuse(p["semantic"], p["keyword"], k),
+    "hybrid+company": lambda p, t, k: interleave(fuse(p["semantic by company"], p["keyword by company"], k), t, k),
+    "keyword+company": lambda p, t, k: interleave(_first(p["keyword by company"], k), t, k),
+    "SABOTAGE starved": lambda p, t, k: fuse(_first(p["semantic"], 1), _first(p["keyword"], 1), 1),
+    "SABOTAGE no-company": lambda p, t, k: fuse(p["semantic"], p["keyword"], k),
+    "SABOTAGE or-keyword": lambda p, t, k: fuse(p["semantic"], p["keyword or"], k),
 }
 
 
 def run_strategies(chunks: DataFrame, queries: DataFrame, targets: DataFrame, k: int = C.RETRIEVAL_TOP_K, names: tuple[str, ...] = tuple(STRATEGIES)) -> DataFrame:
     """(strategy, query_id, rank, chunk_id) of several strategies."""
-    out = None
-    for name in names:
-        hits = STRATEGIES[name](chunks, queries, targets, k).select(F.lit(name).alias("strategy"), "query_id", "rank", "chunk_id")
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    shared = pools(chunks, queries, targets)
+    hits = (STRATEGIES[name](shared, targets, k).select(F.lit(name).alias("strategy"), "query_id", "rank", "chunk_id") for name in names)
+    return reduce(DataFrame.unionByName, hits)
 
 
 def sweep(chunks: DataFrame, queries: DataFrame, values: tuple[int, ...] = C.RRF_SWEEP, k: int = C.RETRIEVAL_TOP_K, pool: int = C.RETRIEVAL_POOL) -> DataFrame:
@@ -201,7 +215,7 @@ def sweep(chunks: DataFrame, queries: DataFrame, values: tuple[int, ...] = C.RRF
 
 def rerank(hits: DataFrame, chunks: DataFrame, queries: DataFrame, scorer, k: int = C.RETRIEVAL_TOP_K) -> DataFrame:
     """Hits in the order of scorer(question text, chunk text) -> Column; within (query, company) groups, which interleave() makes one list."""
-    pairs = hits.select(*KEYS, "chunk_id").join(chunks.select("chunk_id", "content"), "chunk_id").join(F.broadcast(queries.select("query_id", "text")), "query_id")
+    pairs = hits.select(*KEYS, "chunk_id").join(chunks.select("chunk_id", "content"), "chunk_id").join(lookup(queries.select("query_id", "text"), 20_000), "query_id")
     return ranked(pairs.select(*KEYS, "chunk_id", scorer(F.col("text"), F.col("content")).alias("score")), KEYS, k)
 
 
@@ -213,6 +227,7 @@ def overlap_scorer(question: Column, content: Column) -> Column:
 
 def literal(chunks: DataFrame, needles: DataFrame, k: int = 48) -> DataFrame:
     """Chunks whose text is like %needle%, case ignored, wildcards kept; by chunk_id. needles: query_id, needle."""
-    hits = chunks.join(F.broadcast(needles), F.ilike(F.col("content"), F.concat(F.lit("%"), F.col("needle"), F.lit("%"))))
+    like = F.ilike(F.col("content"), F.concat(F.lit("%"), F.col("needle"), F.lit("%")))
+    hits = holding(chunks, needles, like).join(needles, "needle")
     order = Window.partitionBy("query_id").orderBy("chunk_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id")

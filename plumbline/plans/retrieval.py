@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from plumbline import config as C
 from plumbline.functions import companies
+from plumbline.functions.text import flat
 from plumbline.operators import metrics as M
 from plumbline.operators import search as S
+from plumbline.operators.joins import holding
 from plumbline.plans import workload as W
 from plumbline.plans.workload import interleave_sql, kw_sql, rrf_sql, sem_sql, with_views
 
@@ -229,22 +231,20 @@ def a44(spark, d):
 
 
 @query("t7_literal_search", """SELECT query_id, rank, chunk_id FROM (SELECT b.item_id AS query_id, d.doc_id AS chunk_id, row_number() OVER (PARTITION BY b.item_id ORDER BY d.doc_id) AS rank
-  FROM documents d JOIN (SELECT item_id, string_split(trim(text), ' ')[1] AS needle FROM benchmark) b ON d.text ILIKE '%' || b.needle || '%') WHERE rank <= 48""")
+  FROM documents d JOIN benchmark b ON d.text ILIKE '%' || regexp_replace(b.text, ' ', '_') || '%') WHERE rank <= 48""")
 def t7(spark, d):
-    """Chunks like %word%, the first word of each item."""
-    needles = W.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.get(F.split(F.trim("text"), " "), F.lit(0)).alias("needle"))
+    """Chunks like %text%, the text of each item with a wildcard for its first space."""
+    needles = W.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.regexp_replace("text", "^([^ ]*) ", "$1_").alias("needle"))
     return S.literal(W.chunks(spark, d), needles)
 
 
 @query("p10_flat_containment", r"""SELECT b.item_id AS query_id, count(*) AS n FROM documents d JOIN benchmark b
   ON contains(lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))), lower(trim(regexp_replace(b.text, '\s+', ' ', 'g')))) GROUP BY 1""")
 def p10(spark, d):
-    """Literal containment whatever case and white space; the items, a set of fixed size, are broadcast."""
-    from plumbline.functions.text import flat
-
-    docs = W.table(spark, d, "documents").select(flat(F.col("text")).alias("body"))
+    """Literal containment whatever case and white space."""
+    docs = W.table(spark, d, "documents").select("doc_id", flat(F.col("text")).alias("body"))
     items = W.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), flat(F.col("text")).alias("needle"))
-    return docs.join(F.broadcast(items), F.contains("body", "needle")).groupBy("query_id").agg(F.count("*").alias("n"))
+    return holding(docs, items, F.contains("body", "needle"), "doc_id", "body").join(items, "needle").groupBy("query_id").agg(F.count("*").alias("n"))
 
 
 OVERLAP_SQL = "len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')), regexp_extract_all(lower(c.content), '[a-z0-9]+')))::DOUBLE / greatest(1, len(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+'))))"

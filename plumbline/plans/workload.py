@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import tokens
+from plumbline.operators.joins import holding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,10 +69,10 @@ ALIASES = {f"src{n}": (f"src{n}",) for n in range(20)}
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold an item's text: one pass over the documents with the items, which grow with the data, broadcast."""
+    """Documents that hold an item's text."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    return docs.join(F.broadcast(items), F.contains("text", "needle")).select("query_id", "chunk_id")
+    return holding(docs, items, F.contains("text", "needle"), text="text").join(items, "needle").select("query_id", "chunk_id")
 
 
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,10 +81,12 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
     n = F.char_length("text")
     verdict = F.element_at(F.array(*(F.lit(x) for x in ("CORRECT", "PARTIALLY_CORRECT", "INCORRECT", "JUDGE_ERROR", "CORRECT"))), n % 5 + 1)
-    kind = F.element_at(F.array(*(F.lit(x) for x in ("extractive", "multi_chunk", "comparative", "unanswerable_absent"))), (F.col("conv_id") % 4 + 1).cast("int"))
+    kinds = [F.lit(x) for x in ("extractive", "multi_chunk", "comparative", "unanswerable_absent", "extractive", "multi_chunk", "comparative", "unanswerable_adversarial")]
+    kind = F.element_at(F.array(*kinds), (F.col("conv_id") % 8 + 1).cast("int"))
+    labelled = F.col("conv_id") % 6 < 5
     return t.select(
         F.col("conv_id").alias("id"), F.col("turn").alias("run"), kind.alias("type"), (F.col("conv_id") % 4 < 3).alias("answerable"), "text", (n % 7 < 2).alias("refused"), verdict.alias("verdict"),
-        (n % 4).cast("int").alias("n_cited"), (n % 6).cast("int").alias("supported"), (n % 3).cast("int").alias("unsupported"), (n % 2).cast("int").alias("judge_errors"), (n % 5 < 3).alias("gold_retrieved"),
+        (n % 4).cast("int").alias("n_cited"), (n % 6).cast("int").alias("supported"), (n % 3).cast("int").alias("unsupported"), (n % 2).cast("int").alias("judge_errors"), labelled.alias("gold_labelled"), (labelled & (n % 5 < 3)).alias("gold_retrieved"),
     )
 
 
@@ -95,9 +98,9 @@ VIEWS = {
   FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)""",
     "targets": """targets AS (SELECT item_id AS query_id, 'src' || ((item_id * 7 + p * 3) % 20)::VARCHAR AS ticker, p::INTEGER AS pos FROM benchmark, range(3) r(p) WHERE p < item_id % 4)""",
     "gold": """gold AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))""",
-    "gen": """gen AS (SELECT conv_id AS id, turn AS run, ['extractive', 'multi_chunk', 'comparative', 'unanswerable_absent'][(conv_id % 4 + 1)::INTEGER] AS type, conv_id % 4 < 3 AS answerable, text,
+    "gen": """gen AS (SELECT conv_id AS id, turn AS run, ['extractive', 'multi_chunk', 'comparative', 'unanswerable_absent', 'extractive', 'multi_chunk', 'comparative', 'unanswerable_adversarial'][(conv_id % 8 + 1)::INTEGER] AS type, conv_id % 4 < 3 AS answerable, text,
   length(text) % 7 < 2 AS refused, ['CORRECT', 'PARTIALLY_CORRECT', 'INCORRECT', 'JUDGE_ERROR', 'CORRECT'][(length(text) % 5 + 1)::INTEGER] AS verdict, (length(text) % 4)::INTEGER AS n_cited,
-  (length(text) % 6)::INTEGER AS supported, (length(text) % 3)::INTEGER AS unsupported, (length(text) % 2)::INTEGER AS judge_errors, length(text) % 5 < 3 AS gold_retrieved FROM conversations WHERE role = 'assistant')""",
+  (length(text) % 6)::INTEGER AS supported, (length(text) % 3)::INTEGER AS unsupported, (length(text) % 2)::INTEGER AS judge_errors, conv_id % 6 < 5 AS gold_labelled, conv_id % 6 < 5 AND length(text) % 5 < 3 AS gold_retrieved FROM conversations WHERE role = 'assistant')""",
     "q1": """q1 AS (SELECT q.query_id, q.qv, q.terms, len(q.terms) AS wanted, t.ticker, coalesce(t.pos, 0) AS pos FROM queries q LEFT JOIN targets t USING (query_id))""",
     "q0": """q0 AS (SELECT query_id, qv, terms, len(terms) AS wanted, NULL::VARCHAR AS ticker, 0 AS pos FROM queries)""",
     "matches": """tok AS (SELECT chunk_id, doc_key, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS token FROM chunks),
