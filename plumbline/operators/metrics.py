@@ -117,15 +117,17 @@ def verdicts(gen: DataFrame, *by: str) -> DataFrame:
 
 
 def by_question(gen: DataFrame) -> DataFrame:
-    """A question's runs as one observation: refused by majority, a tie isn't; gold found by any run."""
-    out = gen.groupBy("id").agg(F.first("type").alias("type"), F.first("answerable").alias("answerable"), F.count("*").alias("runs"), F.count_if("refused").alias("refusals"), F.max("gold_retrieved").alias("gold_retrieved"))
+    """A question's runs as one observation: what the first run says of the
+    question; refused by majority, a tie isn't; gold found by any run."""
+    first = (F.min_by(c, "run").alias(c) for c in ("type", "answerable", "gold_labelled"))
+    out = gen.groupBy("id").agg(*first, F.count("*").alias("runs"), F.count_if("refused").alias("refusals"), F.max("gold_retrieved").alias("gold_retrieved"))
     return out.withColumn("refused", 2 * F.col("refusals") > F.col("runs")).withColumn("unstable", (F.col("refusals") > 0) & (F.col("refusals") < F.col("runs")))
 
 
 def justified_refusals(questions: DataFrame) -> DataFrame:
-    """Refusals of answerable questions: justified where the gold wasn't found."""
-    refused = questions.filter("answerable and refused")
-    return refused.agg(F.count("*").alias("refused"), F.count_if(~F.col("gold_retrieved")).alias("justified"), F.count_if(F.col("gold_retrieved")).alias("unjustified"))
+    """Refusals of answerable questions: justified where gold is labelled and wasn't found."""
+    refused, justified = questions.filter("answerable and refused"), F.col("gold_labelled") & ~F.col("gold_retrieved")
+    return refused.agg(F.count("*").alias("refused"), F.count_if(justified).alias("justified"), F.count_if(~justified).alias("unjustified"))
 
 
 def behaviour(gen: DataFrame) -> DataFrame:

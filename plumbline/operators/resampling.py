@@ -1,6 +1,7 @@
 """Percentile bootstraps. The published figures depend on the random calls of
 their language's generator, so the resampling runs it, in one task per group
-of question-level values (hundreds, not corpus rows)."""
+of question-level values. Its time is the number of repetitions times that of
+values, so groups are meant to have hundreds of questions, not corpus rows."""
 
 from __future__ import annotations
 

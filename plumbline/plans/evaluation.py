@@ -68,7 +68,7 @@ def a19(spark, d):
     return W.generations(spark, d).filter("verdict = 'CORRECT' and not gold_retrieved and answerable").select("id", "run")
 
 
-BYQ = ", byq AS (SELECT id, any_value(type) AS type, any_value(answerable) AS answerable, count(*) AS runs, count(*) FILTER (refused) AS refusals, bool_or(gold_retrieved) AS gold_retrieved FROM gen GROUP BY 1), bq AS (SELECT *, 2 * refusals > runs AS refused, refusals > 0 AND refusals < runs AS unstable FROM byq)"
+BYQ = ", byq AS (SELECT id, arg_min(type, run) AS type, arg_min(answerable, run) AS answerable, arg_min(gold_labelled, run) AS gold_labelled, count(*) AS runs, count(*) FILTER (refused) AS refusals, bool_or(gold_retrieved) AS gold_retrieved FROM gen GROUP BY 1), bq AS (SELECT *, 2 * refusals > runs AS refused, refusals > 0 AND refusals < runs AS unstable FROM byq)"
 
 
 @query("a20_by_question", G + BYQ + " SELECT * FROM bq")
@@ -76,7 +76,7 @@ def a20(spark, d):
     return M.by_question(W.generations(spark, d))
 
 
-@query("a21_justified_refusals", G + BYQ + " SELECT count(*) AS refused, count(*) FILTER (NOT gold_retrieved) AS justified, count(*) FILTER (gold_retrieved) AS unjustified FROM bq WHERE answerable AND refused")
+@query("a21_justified_refusals", G + BYQ + " SELECT count(*) AS refused, count(*) FILTER (gold_labelled AND NOT gold_retrieved) AS justified, count(*) FILTER (NOT gold_labelled OR gold_retrieved) AS unjustified FROM bq WHERE answerable AND refused")
 def a21(spark, d):
     return M.justified_refusals(M.by_question(W.generations(spark, d)))
 
@@ -161,13 +161,6 @@ def a42(spark, d):
     return M.behaviour(W.generations(spark, d))
 
 
-@query("a43_recomputed", G + " SELECT refused AS before, (length(text) % 7 < 3) AS after, count(*) AS n FROM gen GROUP BY 1, 2")
-def a43(spark, d):
-    """Flags computed again from the saved text, against those saved."""
-    g = W.generations(spark, d)
-    return g.groupBy(F.col("refused").alias("before"), (F.char_length("text") % 7 < 3).alias("after")).agg(F.count("*").alias("n"))
-
-
 @query("p18_cases", G + """ SELECT kind, count(*) AS n FROM (SELECT unnest([x for x in [CASE WHEN refused AND answerable THEN 'false refusal' END, CASE WHEN NOT refused AND NOT answerable THEN 'hallucination' END,
   CASE WHEN n_cited = 0 AND NOT refused THEN 'citation problem' END, CASE WHEN NOT refused THEN 'answered' END, CASE WHEN unsupported > 0 THEN 'unsupported' END, CASE WHEN judge_errors > 0 THEN 'judge error' END] if x IS NOT NULL]) AS kind FROM gen) GROUP BY 1""")
 def p18(spark, d):
@@ -186,10 +179,10 @@ def p19(spark, d):
     return W.generations(spark, d).groupBy(place.alias("place")).agg(F.count("*").alias("n"))
 
 
-@query("p13_answerable_labelled", "SELECT l.toxic AS kind, count(*) AS n FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1 AND l.toxic IS NOT NULL GROUP BY 1")
+@query("p13_answerable_labelled", G + " SELECT type, count(*) AS n FROM gen WHERE answerable AND gold_labelled AND type <> 'comparative' GROUP BY 1")
 def p13(spark, d):
-    docs, labels = W.table(spark, d, "documents").select("doc_id"), W.table(spark, d, "labels")
-    return docs.join(labels.filter("quality = 1 and toxic is not null"), "doc_id").groupBy(F.col("toxic").alias("kind")).agg(F.count("*").alias("n"))
+    """Answers to labelled questions that have one, of some types."""
+    return W.generations(spark, d).filter("answerable and gold_labelled and type <> 'comparative'").groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("j8_question_records", G + " SELECT c.conv_id AS id, count(g.run) AS records FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN gen g ON g.id = c.conv_id GROUP BY 1")
@@ -233,7 +226,16 @@ def _answers(spark):
 VALUES = "VALUES " + ", ".join(f"({i}::BIGINT, {chr(39)}{t.replace(chr(39), chr(39) * 2)}{chr(39)})" for i, t in ANSWERS)
 RE_REFUSAL = r"(?i)\b(?:do(?:es)? not (?:provide|contain|state|specify|include|give)|cannot be determined|is not (?:given|provided|stated|specified|disclosed)|no (?:exact |precise |specific )?(?:count|number|figure|data|information)\s+(?:is |of |for )?|not (?:disclosed|available) in the excerpts|the excerpts? (?:do|does) not)\b"
 SPLIT_SQL = r"string_split(regexp_replace(regexp_replace(text, '([.!?])\s+([A-Z(\[]|[-*•]\s)', '\1' || chr(1) || '\2', 'g'), '\n\s*([-*•]\s)', chr(1) || '\1', 'g'), chr(1))"
-ANSWERS_SQL = f"WITH a(id, text) AS ({VALUES}), s AS (SELECT *, {SPLIT_SQL} AS parts, regexp_matches(text, '{RE_REFUSAL}') AS prose FROM a), r AS (SELECT *, CASE WHEN starts_with(text, 'INSUFFICIENT_CONTEXT') THEN true WHEN contains(text, 'INSUFFICIENT_CONTEXT') THEN false WHEN NOT prose THEN false WHEN regexp_matches(parts[1], '{RE_REFUSAL}') THEN true ELSE len([p for p in parts if NOT regexp_matches(p, '{RE_REFUSAL}') AND regexp_matches(p, '\\[(\\d{{1,2}})\\]')]) = 0 END AS refused FROM s)"
+REFUSED_SQL = f", s AS (SELECT *, {SPLIT_SQL} AS parts, regexp_matches(text, '{RE_REFUSAL}') AS prose FROM a), r AS (SELECT *, CASE WHEN starts_with(text, 'INSUFFICIENT_CONTEXT') THEN true WHEN contains(text, 'INSUFFICIENT_CONTEXT') THEN false WHEN NOT prose THEN false WHEN regexp_matches(parts[1], '{RE_REFUSAL}') THEN true ELSE len([p for p in parts if NOT regexp_matches(p, '{RE_REFUSAL}') AND regexp_matches(p, '\\[(\\d{{1,2}})\\]')]) = 0 END AS refused FROM s)"
+ANSWERS_SQL = f"WITH a(id, text) AS ({VALUES})" + REFUSED_SQL
+
+
+@query("a43_recomputed", G + ", a AS (SELECT refused AS before, CASE WHEN length(text) % 4 = 0 THEN 'INSUFFICIENT_CONTEXT. ' || text WHEN length(text) % 4 = 1 THEN 'The excerpts do not state it. ' || text ELSE text END AS text FROM gen)" + REFUSED_SQL + " SELECT before, refused AS after, count(*) AS n FROM r GROUP BY 1, 2")
+def a43(spark, d):
+    """Refusals found again from the saved text, of which half get such an opening, against the saved flags."""
+    n = F.char_length("text") % 4
+    text = F.when(n == 0, F.concat(F.lit("INSUFFICIENT_CONTEXT. "), "text")).when(n == 1, F.concat(F.lit("The excerpts do not state it. "), "text")).otherwise(F.col("text"))
+    return W.generations(spark, d).groupBy(F.col("refused").alias("before"), A.is_refusal(text).alias("after")).agg(F.count("*").alias("n"))
 
 
 @query("f16_is_refusal", ANSWERS_SQL + " SELECT id, refused FROM r")
@@ -294,4 +296,4 @@ def f14(spark, d):
     docs = W.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), label(F.col("source"), F.lit(2026), F.col("lang")).alias("label"), F.col("text").alias("content"))
     each = hits.join(docs, "chunk_id").groupBy("query_id").agg(F.collect_list(F.struct("rank", "label", "content")).alias("excerpts"))
     items = W.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    return each.join(F.broadcast(items), "query_id").select("query_id", A.user_message(F.col("question"), F.col("excerpts")).alias("message"))
+    return each.join(items, "query_id").select("query_id", A.user_message(F.col("question"), F.col("excerpts")).alias("message"))

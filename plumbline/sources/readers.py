@@ -84,7 +84,7 @@ def vectors_of_text(rows: DataFrame, column: str = "embedding") -> DataFrame:
 
 
 def npy_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(position, embedding) of a two-dimensional .npy file, read by row ranges through Spark's file source."""
+    """(position, embedding) of a two-dimensional .npy file, each file whole in one task, handed on by row ranges."""
     import numpy as np
 
     def run(batches):

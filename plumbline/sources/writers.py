@@ -22,9 +22,18 @@ def drop_tables(spark: SparkSession) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str]) -> DataFrame:
+def latest(rows: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """One row a key: the greatest by order and then by all other columns, so that it is the same one each time."""
+    rest = [c for c in rows.columns if c not in order]
+    best = rows.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_row"))
+    return best.select(*(F.col(f"_row.{c}").alias(c) for c in rows.columns))
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str], order: tuple[str, ...] = ()) -> DataFrame:
     """old with the rows of new: a key that old has takes only the update
-    columns, others are added whole. Columns that neither names stay."""
+    columns, others are added whole. Columns that neither names stay. Of rows
+    of new that repeat a key the latest() counts."""
+    new = latest(new, keys, order)
     n = new.select(*(F.col(c).alias(f"_n_{c}") for c in new.columns), F.lit(True).alias("_n"))
     same = [F.col(k).eqNullSafe(F.col(f"_n_{k}")) for k in keys]
     both = old.withColumn("_o", F.lit(True)).join(n, same, "full")
@@ -42,6 +51,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], update: list[str]) -
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """old with the rows of new whose keys it lacks; of rows that repeat a key the latest()."""
+    new = latest(new, keys)
     return old.unionByName(new.join(old.select(*keys), keys, "left_anti").select(*old.columns))
 
 
@@ -95,6 +106,6 @@ def load_into_empty(rows: DataFrame, path: str) -> None:
 
 
 def update_by_key(rows: DataFrame, changes: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """rows with column replaced where changes has the key; nothing else moves."""
-    fresh = changes.select(*keys, F.col(column).alias("_fresh"))
+    """rows with column replaced where changes has the key, by the latest() of it; nothing else moves."""
+    fresh = latest(changes.select(*keys, column), keys).select(*keys, F.col(column).alias("_fresh"))
     return rows.join(fresh, keys, "left").withColumn(column, F.coalesce("_fresh", column)).drop("_fresh").select(*rows.columns)

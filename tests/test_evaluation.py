@@ -24,10 +24,16 @@ def test_scores(spark):
 
 
 def test_runs_of_a_question(spark):
-    rows = [("a", "t", True, True, False)] * 2 + [("a", "t", True, False, True)] + [("b", "t", True, True, False), ("b", "t", True, False, False)] + [("c", "t", False, False, False)] * 3
-    q = {r["id"]: r for r in M.by_question(spark.createDataFrame(rows, "id string, type string, answerable boolean, refused boolean, gold_retrieved boolean")).collect()}
+    runs = {"a": [(True, False), (True, False), (False, True)], "b": [(True, False), (False, False)], "c": [(False, False)] * 3, "d": [(True, False)], "e": [(True, False)]}
+    rows = [(k, n, "first" if n == 1 else "later", k != "c", k != "e" if n == 1 else False, *x) for k, v in runs.items() for n, x in enumerate(v, 1)]
+    gen = spark.createDataFrame(rows[::-1], "id string, run int, type string, answerable boolean, gold_labelled boolean, refused boolean, gold_retrieved boolean")
+    found = M.by_question(gen)
+    q = {r["id"]: r for r in found.collect()}
     assert q["a"]["refused"] and q["a"]["unstable"] and q["a"]["gold_retrieved"]
     assert not q["b"]["refused"] and q["b"]["unstable"] and not q["c"]["unstable"]
+    assert {r["type"] for r in q.values()} == {"first"} and q["a"]["gold_labelled"] and not q["e"]["gold_labelled"]
+    # Only a refusal whose gold is labelled and wasn't found is justified.
+    assert tuple(M.justified_refusals(found).first()) == (3, 1, 2)
 
 
 def test_empty_rates(spark):
