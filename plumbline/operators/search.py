@@ -94,15 +94,17 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "doc_key", F.explode(tokens(F.col("content"))).alias("token")).groupBy("token", "chunk_id", "doc_key").agg(F.count("*").alias("tf"))
 
 
-def matches(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def matches(chunks: DataFrame, queries: DataFrame, analyze: Callable[[Column], Column] = tokens) -> DataFrame:
     """(query_id, chunk_id, doc_key, n_terms, lex_score): chunks with any term.
+    analyze makes terms of a chunk's text as the questions' terms were made;
+    filings.lexemes gives stems without stop words.
     Each chunk goes to one task and its terms are counted there once, whatever the
     number of questions that share them; nothing is shuffled after that.
     lex_score is the sum of ln(1 + tf) to nine decimals: frequency counts, rarity doesn't."""
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("token"))
     few = is_small(terms)
     rows = chunks.select("chunk_id", "doc_key", "content").repartition("chunk_id")
-    each = rows.select("chunk_id", "doc_key", F.explode(tokens(F.col("content"))).alias("token")).join(lookup_if(few, terms.select("token").distinct()), "token", "left_semi")
+    each = rows.select("chunk_id", "doc_key", F.explode(analyze(F.col("content"))).alias("token")).join(lookup_if(few, terms.select("token").distinct()), "token", "left_semi")
     tf = each.groupBy("chunk_id", "doc_key", "token").agg(F.count("*").alias("tf")).join(lookup_if(few, terms), "token")
     return tf.groupBy("query_id", "chunk_id", "doc_key").agg(F.count("*").alias("n_terms"), F.round(F.sum(F.log1p("tf")), 9).alias("lex_score"))
 
@@ -117,7 +119,8 @@ def keyword_modes(found: DataFrame, queries: DataFrame, least: int = C.KEYWORD_M
 
 
 def keyword(chunks: DataFrame, queries: DataFrame, k: int, targets: DataFrame | None = None, mode: str | None = None, found: DataFrame | None = None) -> DataFrame:
-    """Best chunks by terms, in (query, company) groups; mode forces AND or OR. found: matches() of the same, if at hand."""
+    """Best chunks by terms, in (query, company) groups; mode forces AND or OR.
+    found: matches() of the same, if at hand or if terms aren't tokens."""
     found, few = matches(chunks, queries) if found is None else found, is_small(queries.select("query_id"))
     modes = keyword_modes(found, queries, few=few).withColumn("mode", F.lit(mode) if mode else F.col("mode"))
     hits = found.join(lookup_if(few, modes.select("query_id", "wanted", "mode")), "query_id").filter("mode = 'OR' or n_terms = wanted")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import answers as A
+from plumbline.operators import judging as J
 from plumbline.operators import metrics as M
 from plumbline.operators import resampling as R
 from plumbline.plans import workload as W
@@ -262,6 +265,21 @@ def f17(spark, d):
     return _answers(spark).select("id", A.verify(F.col("text"), F.lit(5)).alias("v")).select("id", "v.cited", "v.problems")
 
 
+def _parity() -> Callable[[str, str, int], str]:
+    """A stand-in for a model: its reply depends on the length of the prompt."""
+    replies = ('{"verdict": "CORRECT", "reason": "same"}', "It is PARTIALLY_CORRECT.", "", '{"verdict": "INCORRECT"}', "no idea")
+    return lambda system, user, max_tokens: replies[len(user) % 5]
+
+
+@query("x6_judged_answers", """SELECT conv_id AS id, turn AS run, ['CORRECT', 'PARTIALLY_CORRECT', 'JUDGE_ERROR', 'INCORRECT', 'JUDGE_ERROR'][(n % 5 + 1)::INTEGER] AS verdict, CASE WHEN n % 5 = 0 THEN 'same' ELSE '' END AS reason
+  FROM (SELECT *, length('QUESTION:' || chr(10) || 'of ' || conv_id || chr(10) || chr(10) || 'REFERENCE ANSWER:' || chr(10) || upper(role) || chr(10) || chr(10) || 'GENERATED ANSWER:' || chr(10) || text) AS n FROM conversations WHERE role = 'assistant')""")
+def x6(spark, d):
+    """Every answer judged by a provider."""
+    t = W.table(spark, d, "conversations").filter("role = 'assistant'")
+    rows = t.select(F.col("conv_id").alias("id"), F.col("turn").alias("run"), F.concat(F.lit("of "), F.col("conv_id").cast("string")).alias("question"), F.upper("role").alias("reference"), F.col("text").alias("generated"))
+    return J.judge_answers(rows, _parity).select("id", "run", "verdict", "reason")
+
+
 @query("f20_claims", ANSWERS_SQL + r", c AS (SELECT id, unnest([p for p in parts if regexp_matches(p, '\[(\d{1,2})\]') AND len(regexp_extract_all(p, '\S+')) > 3]) AS claim FROM r) SELECT id, trim(claim) AS claim FROM c")
 def f20(spark, d):
     return _answers(spark).select("id", F.explode(A.claims(F.col("text"))).alias("c")).select("id", "c.claim")

@@ -49,6 +49,12 @@ def j4(spark, d):
     return Q.resolve_labels(_labels(spark, d), W.chunks(spark, d))
 
 
+@query("a45_label_counts", LABELS + " SELECT count(*) AS labels, count(contains) AS anchored, count(DISTINCT query_id) AS questions FROM labelled")
+def a45(spark, d):
+    """Labels, those with a text to check, and their questions."""
+    return _labels(spark, d).agg(F.count("*").alias("labels"), F.count("contains").alias("anchored"), F.count_distinct("query_id").alias("questions"))
+
+
 @query("j5_neighbours", LABELS + " SELECT l.query_id, l.doc_key, l.chunk_index, c.chunk_id AS neighbour_id FROM labelled l JOIN chunks c ON c.doc_key = l.doc_key AND c.chunk_index BETWEEN l.chunk_index - 40 AND l.chunk_index + 40 AND c.chunk_index >= 0")
 def j5(spark, d):
     """Chunks near labelled ones, a source's indices being 20 apart."""

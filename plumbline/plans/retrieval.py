@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import config as C
-from plumbline.functions import companies
+from plumbline.functions import companies, filings
 from plumbline.functions.text import flat
 from plumbline.operators import metrics as M
 from plumbline.operators import search as S
@@ -220,6 +220,14 @@ def a35(spark, d):
     return S.keyword_modes(S.matches(c, q), q)
 
 
+@query("p6_stemmed_keyword")
+def p6(spark, d):
+    """Whole questions as stems without stop words, searched among those of the chunks."""
+    c, q, _ = _in(spark, d)
+    q = q.withColumn("terms", F.array_distinct(filings.lexemes(F.col("text"))))
+    return S.keyword(c, q, K, found=S.matches(c, q, filings.lexemes)).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
 @query("a44_overlaps", RRF0 + """, s AS (SELECT * FROM sem WHERE rank <= 16), k AS (SELECT * FROM kw WHERE rank <= 16),
 u AS (SELECT query_id, chunk_id, max(s) AS s, max(k) AS k, max(h) AS h FROM (SELECT query_id, chunk_id, 1 AS s, 0 AS k, 0 AS h FROM s UNION ALL SELECT query_id, chunk_id, 0, 1, 0 FROM k UNION ALL SELECT query_id, chunk_id, 0, 0, 1 FROM hyb) GROUP BY 1, 2)
 SELECT query_id, sum(s * k)::BIGINT AS sem_kw, sum(h * s)::BIGINT AS hyb_sem, sum(h * k)::BIGINT AS hyb_kw, sum(h * (1 - s) * (1 - k))::BIGINT AS only_hyb FROM u GROUP BY 1""")
