@@ -23,7 +23,7 @@ from __future__ import annotations
 import itertools
 import re
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick

@@ -41,13 +41,14 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def judge(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "fetched") -> DataFrame:
-    """captures with blocked, rule and since: the longest active key decides, and
-    of equally long ones an allow before a block.
+    """captures with blocked, rule and since, which replace columns of these names:
+    the longest active key decides, and of equally long ones an allow before a block.
 
     A capture without a host or date, or that nothing matches, isn't blocked
     and has no rule. Each url and date is judged once, so that a host with
     many captures costs what its distinct urls cost; the intervals are
-    broadcast if they are few, else both sides are shuffled by key."""
+    broadcast if they are few, else both sides are shuffled by key, where Spark
+    may split a key with many captures. Urls are used whole, of any length."""
     asked = captures.select(F.col(url).alias("_ul_url"), F.col(at).alias("_ul_at")).dropna().distinct()
     keyed = asked.withColumn("key", F.explode(url_keys(F.col("_ul_url"))))
     valid = lookup(intervals(entries))
@@ -77,7 +78,8 @@ def sample_entries(pages: DataFrame) -> DataFrame:
 
 
 def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page, fetched on day page_id mod 366 of 2024, against dated entries."""
+    """Every page, fetched on day page_id mod 366 of 2024, against dated entries
+    that sample_entries() makes of the pages' own hosts, as no table holds a list."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int"))
     return judge(pages.withColumn("fetched", fetched), sample_entries(pages)).select("page_id", "url", "fetched", "blocked", "rule", "since")

@@ -33,3 +33,12 @@ def test_edges(spark):
     assert {r["rule"] for r in got if r["id"] == 6} == {"domain:ok.bad.com"} and all(r["key"] == "k" for r in got)
     assert ul.judge(captures.limit(0), entries).count() == 0
     assert ul.judge(captures, entries.limit(0)).filter("blocked").count() == 0
+
+
+def test_long_urls_and_clashing_names(spark):
+    long = "http://a.example.org/x/" + "y" * 200_000 + "/z"
+    rows = [(1, long, D(2024, 5, 1), "own"), (2, None, D(2024, 5, 1), "own"), (3, "http://b.org/", None, "own")]
+    captures = spark.createDataFrame(rows, "page_id long, url string, fetched date, rule string")
+    entries = spark.createDataFrame([("block", "prefix:a.example.org/x", "add", D(2024, 1, 1)), ("allow", "domain:example.org", "add", D(2024, 1, 1))], "list string, key string, action string, at date")
+    got = {r["page_id"]: (r["blocked"], r["rule"]) for r in ul.judge(captures, entries).collect()}
+    assert got == {1: (True, "prefix:a.example.org/x"), 2: (False, None), 3: (False, None)}
