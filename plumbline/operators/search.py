@@ -94,7 +94,12 @@ def postings(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "doc_key", F.explode(tokens(F.col("content"))).alias("token")).groupBy("token", "chunk_id", "doc_key").agg(F.count("*").alias("tf"))
 
 
-def matches(chunks: DataFrame, queries: DataFrame, analyze: Callable[[Column], Column] = tokens) -> DataFrame:
+def few_terms(queries: DataFrame, targets: DataFrame | None = None) -> bool:
+    """Can all terms, questions and companies be broadcast? By a count of terms and of (question, company) rows."""
+    return is_small(queries.select(F.explode(F.array_distinct("terms")))) and is_small(with_targets(queries.select("query_id"), targets))
+
+
+def matches(chunks: DataFrame, queries: DataFrame, analyze: Callable[[Column], Column] = tokens, few: bool | None = None) -> DataFrame:
     """(query_id, chunk_id, doc_key, n_terms, lex_score): chunks with any term.
     analyze makes terms of a chunk's text as the questions' terms were made;
     filings.lexemes gives stems without stop words.
@@ -102,7 +107,7 @@ def matches(chunks: DataFrame, queries: DataFrame, analyze: Callable[[Column], C
     number of questions that share them; nothing is shuffled after that.
     lex_score is the sum of ln(1 + tf) to nine decimals: frequency counts, rarity doesn't."""
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("token"))
-    few = is_small(terms)
+    few = is_small(terms) if few is None else few
     rows = chunks.select("chunk_id", "doc_key", "content").repartition("chunk_id")
     each = rows.select("chunk_id", "doc_key", F.explode(analyze(F.col("content"))).alias("token")).join(lookup_if(few, terms.select("token").distinct()), "token", "left_semi")
     tf = each.groupBy("chunk_id", "doc_key", "token").agg(F.count("*").alias("tf")).join(lookup_if(few, terms), "token")
@@ -118,14 +123,15 @@ def keyword_modes(found: DataFrame, queries: DataFrame, least: int = C.KEYWORD_M
     return out.withColumn("mode", F.when(F.col("and_hits") >= least, "AND").otherwise("OR"))
 
 
-def keyword(chunks: DataFrame, queries: DataFrame, k: int, targets: DataFrame | None = None, mode: str | None = None, found: DataFrame | None = None) -> DataFrame:
+def keyword(chunks: DataFrame, queries: DataFrame, k: int, targets: DataFrame | None = None, mode: str | None = None, found: DataFrame | None = None, few: bool | None = None) -> DataFrame:
     """Best chunks by terms, in (query, company) groups; mode forces AND or OR.
-    found: matches() of the same, if at hand or if terms aren't tokens."""
-    found, few = matches(chunks, queries) if found is None else found, is_small(queries.select("query_id"))
+    found: matches() of the same, if at hand or if terms aren't tokens; few: few_terms() of the same."""
+    few = few_terms(queries, targets) if few is None else few
+    found = matches(chunks, queries, few=few) if found is None else found
     modes = keyword_modes(found, queries, few=few).withColumn("mode", F.lit(mode) if mode else F.col("mode"))
     hits = found.join(lookup_if(few, modes.select("query_id", "wanted", "mode")), "query_id").filter("mode = 'OR' or n_terms = wanted")
     groups = with_targets(queries.select("query_id"), targets)
-    hits = hits.join(lookup(groups), "query_id").filter("ticker is null or ticker = doc_key")
+    hits = hits.join(lookup_if(few, groups), "query_id").filter("ticker is null or ticker = doc_key")
     return ranked(hits.select(*KEYS, "chunk_id", F.col("lex_score").alias("score")), KEYS, k)
 
 
@@ -179,10 +185,11 @@ def decomposed(chunks: DataFrame, queries: DataFrame, targets: DataFrame, rewrit
 
 def pools(chunks: DataFrame, queries: DataFrame, targets: DataFrame, pool: int = C.RETRIEVAL_POOL) -> dict[str, DataFrame]:
     """The ranked pools that all strategies draw on, without and with companies. Each is one plan, so that Spark makes its shuffle once however many strategies use it."""
-    found = matches(chunks, queries)
+    few = few_terms(queries, targets)
+    found = matches(chunks, queries, few=few)
     return {
-        "semantic": semantic(chunks, queries, pool), "keyword": keyword(chunks, queries, pool, found=found), "keyword or": keyword(chunks, queries, pool, mode="OR", found=found),
-        "semantic by company": semantic(chunks, queries, pool, targets), "keyword by company": keyword(chunks, queries, pool, targets, found=found),
+        "semantic": semantic(chunks, queries, pool), "keyword": keyword(chunks, queries, pool, found=found, few=few), "keyword or": keyword(chunks, queries, pool, mode="OR", found=found, few=few),
+        "semantic by company": semantic(chunks, queries, pool, targets), "keyword by company": keyword(chunks, queries, pool, targets, found=found, few=few),
     }
 
 
