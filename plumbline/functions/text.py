@@ -28,7 +28,8 @@ def contains_flat(text: Column, needle: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), 0)
+    """Runs of letters and digits of any script, lower-cased."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
 def words(text: Column) -> Column:

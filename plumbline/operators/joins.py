@@ -13,7 +13,7 @@ from plumbline.functions.text import tokens
 #: Tables of at most so many rows are broadcast; larger ones are joined by shuffle.
 LOOKUP_ROWS = 100_000
 #: Tokens of a needle that stand whole in any text that holds it: neither at an end nor beside a wildcard.
-WHOLE_TOKEN = r"(?<=[^a-z0-9%_])[a-z0-9]+(?=[^a-z0-9%_])"
+WHOLE_TOKEN = r"(?<=[^\p{L}\p{N}%_])[\p{L}\p{N}]+(?=[^\p{L}\p{N}%_])"
 
 
 def is_small(df: DataFrame, limit: int = LOOKUP_ROWS) -> bool:

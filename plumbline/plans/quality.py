@@ -170,7 +170,7 @@ def a6(spark, d):
     return out.withColumn("spread", F.round("spread", 6))
 
 
-@query("a40_duplicates", CH + " SELECT count(*) AS n, count(DISTINCT embedding) AS vectors, count(DISTINCT content) AS texts, count(DISTINCT array_to_string(regexp_extract_all(lower(content), '[a-z0-9]+'), ' ')) AS token_sequences FROM chunks")
+@query("a40_duplicates", CH + " SELECT count(*) AS n, count(DISTINCT embedding) AS vectors, count(DISTINCT content) AS texts, count(DISTINCT array_to_string(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'), ' ')) AS token_sequences FROM chunks")
 def a40(spark, d):
     return Q.duplicates(W.chunks(spark, d))
 

@@ -255,7 +255,7 @@ def p10(spark, d):
     return holding(docs, items, F.contains("body", "needle"), "doc_id", "body").join(items, "needle").groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-OVERLAP_SQL = "len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')), regexp_extract_all(lower(c.content), '[a-z0-9]+')))::DOUBLE / greatest(1, len(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+'))))"
+OVERLAP_SQL = "len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[\\p{L}\\p{N}]+')), regexp_extract_all(lower(c.content), '[\\p{L}\\p{N}]+')))::DOUBLE / greatest(1, len(list_distinct(regexp_extract_all(lower(q.text), '[\\p{L}\\p{N}]+'))))"
 
 
 def _rerank_sql(hits: str, k: int) -> str:

@@ -92,9 +92,9 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same views as common table expressions.
 VIEWS = {
-    "chunks": """chunks AS (SELECT d.doc_id AS chunk_id, d.source AS doc_key, d.lang AS item_section, d.doc_id::INTEGER AS chunk_index, len(regexp_extract_all(lower(d.text), '[a-z0-9]+'))::INTEGER AS token_count,
+    "chunks": """chunks AS (SELECT d.doc_id AS chunk_id, d.source AS doc_key, d.lang AS item_section, d.doc_id::INTEGER AS chunk_index, len(regexp_extract_all(lower(d.text), '[\\p{L}\\p{N}]+'))::INTEGER AS token_count,
   d.text AS content, e.embedding::DOUBLE[] AS embedding FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id)""",
-    "queries": """queries AS (SELECT b.item_id AS query_id, b.text, list_sort(list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+'))) AS terms, e.embedding::DOUBLE[] AS qv
+    "queries": """queries AS (SELECT b.item_id AS query_id, b.text, list_sort(list_distinct(regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}]+'))) AS terms, e.embedding::DOUBLE[] AS qv
   FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id)""",
     "targets": """targets AS (SELECT item_id AS query_id, 'src' || ((item_id * 7 + p * 3) % 20)::VARCHAR AS ticker, p::INTEGER AS pos FROM benchmark, range(3) r(p) WHERE p < item_id % 4)""",
     "gold": """gold AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))""",
@@ -103,7 +103,7 @@ VIEWS = {
   (length(text) % 6)::INTEGER AS supported, (length(text) % 3)::INTEGER AS unsupported, (length(text) % 2)::INTEGER AS judge_errors, conv_id % 6 < 5 AS gold_labelled, conv_id % 6 < 5 AND length(text) % 5 < 3 AS gold_retrieved FROM conversations WHERE role = 'assistant')""",
     "q1": """q1 AS (SELECT q.query_id, q.qv, q.terms, len(q.terms) AS wanted, t.ticker, coalesce(t.pos, 0) AS pos FROM queries q LEFT JOIN targets t USING (query_id))""",
     "q0": """q0 AS (SELECT query_id, qv, terms, len(terms) AS wanted, NULL::VARCHAR AS ticker, 0 AS pos FROM queries)""",
-    "matches": """tok AS (SELECT chunk_id, doc_key, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS token FROM chunks),
+    "matches": """tok AS (SELECT chunk_id, doc_key, unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS token FROM chunks),
 term AS (SELECT query_id, unnest(terms) AS token FROM queries),
 tfs AS (SELECT query_id, chunk_id, doc_key, token, count(*) AS tf FROM tok JOIN term USING (token) GROUP BY ALL),
 matches AS (SELECT query_id, chunk_id, doc_key, count(*) AS n_terms, round(sum(ln(1 + tf)), 9) AS lex_score FROM tfs GROUP BY ALL)""",
