@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import batched, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -28,14 +30,14 @@ TRAIN_DOCS = 8_000
 THRESHOLD = 0.7
 #: Largest norm of a text's values.
 NORM = 5.0
-#: Words whose terms a worker remembers.
-MEMO = 60_000
+#: Words whose terms a worker remembers, and texts that it looks up together.
+MEMO, GROUP = 100_000, 128
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def word_terms(word: str) -> tuple[int, ...]:
+def word_terms(word: str) -> list[int]:
     """Hashes of a lower-case word and of its beginnings."""
-    return tuple(xxhash.xxh64_intdigest(x) >> (64 - HASH_BITS) for x in (f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)))
+    return [xxhash.xxh64_intdigest(x) >> (64 - HASH_BITS) for x in (f"={word}", *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n))]
 
 
 @dataclass
@@ -52,30 +54,37 @@ class FactorizationMachine:
     def __post_init__(self) -> None:
         self.memo: dict[str, bytes] = {}
 
-    def terms(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Slots of the known terms of the whole text, and their values 1 + ln(count), scaled down where their norm is over NORM."""
-        memo = self.memo
-        found = []
-        counts = Counter(WORD.findall(text.lower()))
-        for word in counts:
-            if (t := memo.get(word)) is None:
-                t = self.slot[list(word_terms(word))]
-                t = t[t > 0].tobytes()
-                if len(memo) < MEMO:
-                    memo[word] = t
-            found.append(t)
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        times = np.fromiter(counts.values(), np.float64, len(found))
-        at, where = np.unique(np.frombuffer(b"".join(found), np.int32).astype(np.int64), return_inverse=True)
-        x = 1 + np.log(np.bincount(where, np.repeat(times, sizes), len(at)))
-        return at, x / max(1.0, float(np.linalg.norm(x)) / NORM)
+    def terms(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each whole text the slots of its known terms and their values 1 + ln(count), scaled down where their norm is over NORM."""
+        for some in batched(texts, GROUP):
+            counts = [Counter(WORD.findall(text.lower())) for text in some]
+            new = list(dict.fromkeys(word for each in counts for word in each if word not in self.memo))
+            if len(self.memo) + len(new) > MEMO:
+                self.memo.clear()
+                new = list(dict.fromkeys(word for each in counts for word in each))
+            hashes = [word_terms(word) for word in new]
+            slots = self.slot[np.fromiter(chain.from_iterable(hashes), np.int64)]
+            known = np.concatenate([[0], np.cumsum(slots > 0)])
+            ends = 4 * known[np.cumsum([0, *map(len, hashes)])]
+            data = slots[slots > 0].tobytes()
+            self.memo.update((word, data[a:b]) for word, (a, b) in zip(new, pairwise(ends.tolist()), strict=True))
+            for each in counts:
+                found = [*map(self.memo.__getitem__, each)]
+                sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+                times = np.fromiter(each.values(), np.float64, len(found))
+                at, where = np.unique(np.frombuffer(b"".join(found), np.int32).astype(np.int64), return_inverse=True)
+                x = 1 + np.log(np.bincount(where, np.repeat(times, sizes), len(at)))
+                yield at, x / max(1.0, float(np.linalg.norm(x)) / NORM)
 
     def raw(self, at: np.ndarray, x: np.ndarray) -> float:
         vx = self.v[at] * x[:, None]
         return self.bias + float(self.w[at] @ x) + 0.5 * float((vx.sum(axis=0) ** 2 - (vx * vx).sum(axis=0)).sum())
 
+    def scores(self, texts: Iterable[str | None]) -> list[float]:
+        return [float(sigmoid(self.slope * self.raw(*found) + self.shift)) for found in self.terms(text or "" for text in texts)]
+
     def score(self, text: str | None) -> float:
-        return float(sigmoid(self.slope * self.raw(*self.terms(text or "")) + self.shift))
+        return self.scores([text])[0]
 
 
 def sigmoid(x: float | np.ndarray) -> float | np.ndarray:
@@ -84,14 +93,9 @@ def sigmoid(x: float | np.ndarray) -> float | np.ndarray:
 
 def known_terms(texts: list[str], least: int = 3) -> np.ndarray:
     """Hashes of all terms that at least `least` texts hold, whatever their labels: a term may matter only beside another."""
-    held = np.zeros(1 << HASH_BITS, np.int64)
-    memo: dict[str, tuple[int, ...]] = {}
+    held, remembered = np.zeros(1 << HASH_BITS, np.int64), lru_cache(MEMO)(word_terms)
     for text in texts:
-        found: set[int] = set()
-        for word in set(WORD.findall(text.lower())):
-            if (t := memo.get(word)) is None:
-                t = memo[word] = word_terms(word)
-            found.update(t)
+        found = {term for word in set(WORD.findall(text.lower())) for term in remembered(word)}
         held[np.fromiter(found, np.int64, len(found))] += 1
     return np.flatnonzero(held >= least)
 
@@ -109,29 +113,35 @@ def fit(texts: list[str], labels: list[int], epochs: int = 12, rate: float = 0.1
     fm.slot[kept] = np.arange(1, len(kept) + 1, dtype=np.int32)
     rng = np.random.default_rng(seed)
     fm.w, fm.v = np.zeros(len(kept) + 1), rng.normal(0, 0.02, (len(kept) + 1, FACTORS))
-    data = [fm.terms(t) for t in texts]
+    data = list(fm.terms(texts))
     base = y[own].mean()
     fm.bias = float(np.log(base / (1 - base)))
-    gw, gv, gb = np.full(fm.w.shape, 0.1), np.full(fm.v.shape, 0.1), 0.1
+    # Weight and vector of a term side by side, and their sums of squared gradients.
+    both, past, past_bias = np.column_stack([fm.w, fm.v]), np.full((len(fm.w), 1 + FACTORS), 0.1), 0.1
     for _ in range(epochs):
         for i in rng.permutation(np.flatnonzero(own)):
             at, x = data[i]
-            vx = fm.v[at] * x[:, None]
-            total = vx.sum(axis=0)
-            s = fm.bias + fm.w[at] @ x + 0.5 * float((total**2 - (vx * vx).sum(axis=0)).sum())
+            mine = both[at]
+            px = mine * x[:, None]
+            total = px.sum(axis=0)
+            s = fm.bias + total[0] + 0.5 * float((total[1:] ** 2 - np.einsum("ij,ij->j", px, px)[1:]).sum())
             e = float(sigmoid(s)) - y[i]
-            gb += e * e
-            fm.bias -= rate * e / gb**0.5
+            past_bias += e * e
+            fm.bias -= rate * e / past_bias**0.5
             if not len(at):
                 continue
-            dw = e * x + l2 * fm.w[at]
-            dv = e * x[:, None] * (total - vx) + l2 * fm.v[at]
-            gw[at] += dw * dw
-            gv[at] += dv * dv
-            step = rate / np.sqrt(gw[at])
-            w = fm.w[at] - step * dw
-            fm.w[at] = np.sign(w) * np.maximum(0, np.abs(w) - step * l1)
-            fm.v[at] -= rate * dv / np.sqrt(gv[at])
+            grad = total - px
+            grad[:, 0] = 1.0
+            grad *= (e * x)[:, None]
+            grad += l2 * mine
+            squares = past[at] + grad * grad
+            past[at] = squares
+            step = rate / np.sqrt(squares)
+            mine -= step * grad
+            w = mine[:, 0]
+            mine[:, 0] = np.sign(w) * np.maximum(0, np.abs(w) - step[:, 0] * l1)
+            both[at] = mine
+    fm.w, fm.v = both[:, 0].copy(), both[:, 1:].copy()
     rest = ~own if (~own).any() else own
     raw = np.clip(np.array([fm.raw(*data[i]) for i in np.flatnonzero(rest)]), -20, 20)
     a, b, t = 1.0, 0.0, y[rest]
@@ -176,7 +186,7 @@ def score(docs: DataFrame, model: FactorizationMachine, text: str = "text", out:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         fm = shared.value
         for texts in batches:
-            yield pd.Series([fm.score(x) for x in texts], dtype="float64")
+            yield pd.Series(fm.scores(texts), dtype="float64")
 
     return docs.withColumn(out, of(F.col(text)))
 
