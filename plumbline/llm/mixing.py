@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD_PATTERN, hash60, lookup, materialize, table
+from plumbline.llm.common import WORD_PATTERN, hash60, lookup, materialize, remove, table
 
 HASH_BITS = 60
 BUCKET_BITS = 12
@@ -62,18 +62,21 @@ def _histogram(rows: DataFrame, keys: list[str], shift: int) -> DataFrame:
 
 def thresholds(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3) -> DataFrame:
     """Per source its size, target, epochs (whole passes) and the hash up to
-    which documents are taken once more; rows: source, size, h."""
+    which documents are taken once more, as a table of the shared folder; rows: source, size, h."""
+    gone: list[str] = []
+    # Each round reads the rows again, so they are kept without their texts.
+    rows = materialize(rows, "mix-rows", gone)
     shift = HASH_BITS - BUCKET_BITS
-    hist = materialize(_histogram(rows, ["source"], shift), "mix-histogram")
+    hist = materialize(_histogram(rows, ["source"], shift), "mix-histogram", gone)
     sizes = hist.groupBy("source").agg(F.sum("words").alias("source_size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = source_targets(sizes, weights, cap).withColumn("epochs", epochs.cast("long"))
-    plan = materialize(plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-plan")
+    plan = materialize(plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-plan", gone)
     budgets = lookup(plan.select(F.col("source").alias("of"), "budget"))
     open_ = _cumulated(hist.join(budgets, F.col("source").eqNullSafe(F.col("of"))).drop("of"))
     done = None
     while True:
-        ends = materialize(open_.select("source", "bucket", "words", "rest", "low", "high"), "mix-ends")
+        ends = materialize(open_.select("source", "bucket", "words", "rest", "low", "high"), "mix-ends", gone)
         single = ends.filter(F.col("low") == F.col("high"))
         nearer = F.col("words") - F.col("rest") < F.col("rest")
         cut = single.select("source", (F.col("low") - F.when(nearer, 0).otherwise(1)).alias("threshold"))
@@ -87,7 +90,9 @@ def thresholds(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: flo
         open_ = _cumulated(_histogram(within, ["source", "budget"], shift))
     cuts = done.withColumnRenamed("source", "of")
     full = plan.join(lookup(cuts), F.col("source").eqNullSafe(F.col("of")), "left").drop("of", "budget")
-    return materialize(full.withColumn("threshold", F.coalesce("threshold", F.lit(-1))), "mix-thresholds")
+    found = materialize(full.withColumn("threshold", F.coalesce("threshold", F.lit(-1))), "mix-thresholds")
+    remove(found.sparkSession, gone)
+    return found
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3, source: str = "source", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
