@@ -91,10 +91,14 @@ def bounded_sample(rows: DataFrame, limit: int, nbytes: int = SAMPLE_BYTES, orde
     sizes add up to at most nbytes; the first one always. With per, rows take
     turns by their value there, so that a rare value isn't left out. Ties in
     order share all that counts. Runs on ids and sizes alone: limit rows, after
-    a cut that each task makes by itself, are ordered in one place."""
+    a cut that each task makes by itself, are ordered in one place. Values of
+    per with many rows are thinned before, by a hash of order, to about twice
+    the limit, so that no task gets all rows of one; rows are read twice then."""
     if per is not None:
+        counts = lookup(rows.groupBy(per).agg(F.count("*").alias("_n")))
+        place = (F.xxhash64(*order).cast("double") + 2.0**63) / 2.0**64
+        rows = rows.join(counts, per).filter(place * F.col("_n") <= 2 * limit + 100).select(*rows.columns)
         turn = Window.partitionBy(per).orderBy(*order)
-        # Spark cuts each task's rows by row_number before the exchange.
         rows = rows.withColumn("_turn", F.row_number().over(turn)).filter(F.col("_turn") <= limit)
         order = ("_turn", *order)
     first = rows.orderBy(*order).limit(limit)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SAMPLE_BYTES, bounded_sample, hash60, held_out, learnable, small_batches, table
+from plumbline.llm.common import SAMPLE_BYTES, bounded_sample, hash60, held_out, learnable, materialize, remove, small_batches, table
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -183,9 +183,11 @@ def train(docs: DataFrame, limit: int = TRAIN_DOCS, nbytes: int = SAMPLE_BYTES,
     idf = np.log((1 + n) / (1 + df)) + 1
     keyed = rows.select(hash60(F.col(doc_id)).alias("h"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("same"))
     # Repeated rows count once; hashes alone are dealt and ordered.
-    each = keyed.groupBy("h", "lang", "same").agg(F.max(F.octet_length("text")).cast("long").alias("size"))
+    gone: list[str] = []
+    each = materialize(keyed.groupBy("h", "lang", "same").agg(F.max(F.octet_length("text")).cast("long").alias("size")), "lang-rows", gone)
     chosen = F.broadcast(bounded_sample(each, limit, nbytes, ("h", "lang", "same"), "lang").drop("size"))
     sample = keyed.join(chosen, ["h", "lang", "same"]).groupBy("h", "lang", "same").agg(F.first("text").alias("text")).toPandas()
+    remove(docs.sparkSession, gone)
     sample = sample.sort_values(["h", "text", "lang"]).drop_duplicates(["lang", "text"])
     return fit(sample["text"].tolist(), sample["lang"].tolist(), idf)
 

@@ -81,7 +81,10 @@ def test_samples_are_bounded_and_settled(spark):
     pick = lambda d, **k: sorted(map(tuple, common.bounded_sample(d, 20, order=("h", "text"), **k).collect()))
     assert pick(df) == pick(df.repartition(7, "text")) == pick(df.orderBy(F.desc("h"))) and len(pick(df)) == 20
     assert sum(r[3] for r in pick(df, nbytes=30)) <= 30 and len(pick(df, nbytes=0)) == 1
-    assert sum(r[2] == "rare" for r in pick(df, per="lang")) >= 5 and len(pick(df.limit(0))) == 0
+    assert sum(r[2] == "rare" for r in pick(df, per="lang")) >= 5 and len(pick(df.limit(0))) == len(pick(df.limit(0), per="lang")) == 0
+    many = spark.range(6_000).selectExpr("id as h", "'t' as text", "if(id % 100 = 0, 'rare', 'often') as lang", "1L as size")
+    got = pick(many, per="lang")
+    assert got == pick(many.repartition(9), per="lang") and [r[2] for r in got].count("rare") == 10 == len(got) - 10
 
 
 def test_repeated_rows_change_no_model(spark):
